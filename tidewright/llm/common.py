@@ -115,3 +115,9 @@ def single_thread() -> None:
     """Keep BLAS of a Python worker to the one core its task owns."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(name, "1")
+
+
+def small_or_shuffled(df: DataFrame, limit: int) -> DataFrame:
+    """A broadcast hint for ``df`` (cheap to read again, such as one from :func:`written`) if it has at most ``limit``
+    rows; else Spark's joins shuffle it."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

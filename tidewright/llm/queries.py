@@ -7,9 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm import line_dedup, warc
 from tidewright.llm.common import table
 from tidewright.llm.decontamination import contamination
+from tidewright.llm.language import identify_held_out
 from tidewright.llm.media import media_features, store_media
+from tidewright.llm.packing import pack
+from tidewright.llm.simhash import simhash_components
+from tidewright.llm.substring_dedup import dedup_substrings
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", keep_ids=False)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_records(warc.write_bundles(table(spark, sf_dir, "pages")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +59,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_language": op5_language,
+    "op6_packing": op6_packing,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE}
