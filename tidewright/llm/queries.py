@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import line_dedup, warc
+from tidewright.llm import licenses, line_dedup, warc
 from tidewright.llm.common import table
 from tidewright.llm.decontamination import contamination
 from tidewright.llm.language import identify_held_out
@@ -15,6 +15,7 @@ from tidewright.llm.media import media_features, store_media
 from tidewright.llm.packing import pack
 from tidewright.llm.simhash import simhash_components
 from tidewright.llm.substring_dedup import dedup_substrings
+from tidewright.llm.toxicity import held_out_scores
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -60,6 +69,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
     "op4_line_dedup": op4_line_dedup,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
