@@ -125,7 +125,7 @@ STATEMENTS = (
 )
 #: One of these stands in every text that any rule can match.
 STEMS = (
-    "licen", "copyright", "mit ", "gpl", "cc by", "cc0", "creative", "public", "rights reserved", "proprietary", "permission", "redistribution", "warranty", "released",
+    "licen", "copyright", "gpl", "wtfpl", "cc by", "cc0", "creative", "public", "rights reserved", "proprietary", "permission", "redistribution", "warranty", "released",
     "distributed", "available", "published", "provided", "covered",
 )
 
