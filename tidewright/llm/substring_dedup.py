@@ -23,14 +23,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import as_bytes, keyed, map_batches, written
+from tidewright.llm.common import as_bytes, keyed, map_batches, small_or_shuffled, written
 
 WINDOW = 50
-#: Flagged documents whose runs may be broadcast (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_DOCS = 20_000
+#: Covered stretches that may be broadcast (some 16 bytes each, and 50 a document); more are joined by a shuffle.
+BROADCAST_RUNS = 500_000
+BROADCAST_NAMES = 500_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -120,13 +122,39 @@ def _survey(docs: DataFrame, window: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n_words long, digest string, names array<long>")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, z): texts under Zstandard, to be moved."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t or b"") for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "z"])
+
+    return map_batches(docs, run, "doc_id long, z binary")
+
+
+def _stretches(covered: DataFrame, window: int) -> DataFrame:
+    """(doc_id, first, past): word numbers where covered stretches start and end, from the starts of windows."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first, past = [], []
+        for starts in batch.column(1):
+            at = np.sort(starts.values.to_numpy())
+            breaks = np.flatnonzero(np.diff(at) > window)
+            first.append(at[np.concatenate(([0], breaks + 1))])
+            past.append(at[np.concatenate((breaks, [len(at) - 1]))] + window)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int32())), pa.array(past, pa.list_(pa.int32()))], names=["doc_id", "first", "past"])
+
+    return map_batches(covered.groupBy("doc_id").agg(F.collect_set("at").alias("starts")), run, "doc_id long, first array<int>, past array<int>")
+
+
 def _windows(candidates: DataFrame, window: int) -> DataFrame:
     """(doc_id, at, h1, h2) of the windows that named a repeated half window."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, ats, h1, h2 = [], [], [], []
-        for doc_id, text, keys in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), strict=True):
-            words = word_hashes(text)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for doc_id, z, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            words = word_hashes(unpack(z))
             half = window_hashes(words, window // 2)
             at = np.flatnonzero(np.isin(half[named(half, window)], keys.values.to_numpy().view(np.uint64)))
             ids.append(np.full(len(at), doc_id, dtype=np.int64))
@@ -140,48 +168,50 @@ def _windows(candidates: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, survey: DataFrame, window: int) -> DataFrame:
-    """(doc_id, starts): sorted starts of windows that start in a smaller document too, among ``survey``'s documents."""
+    """(doc_id, first, past): stretches of windows that start in a smaller document too, among ``survey``'s documents."""
     names = survey.where(F.size("names") > 0).select("doc_id", F.explode("names").alias("name"))
     repeated = names.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
+    # written, so that a join has plain shuffles on both sides, whose hot keys Spark can split
+    repeated = small_or_shuffled(written(repeated, "names"), BROADCAST_NAMES)
     wanted = names.join(repeated, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    windows = written(_windows(docs.join(wanted, "doc_id").select("doc_id", "text", "names"), window), "windows")
+    windows = written(_windows(_packed(docs).join(wanted, "doc_id").select("doc_id", "z", "names"), window), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    covered = windows.join(first, ["h1", "h2"]).where("doc_id > lo").select("doc_id", "at")
-    return covered.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    covered = windows.join(written(first, "firsts"), ["h1", "h2"]).where("doc_id > lo").select("doc_id", "at")
+    return _stretches(covered, window)
 
 
-def _kept(text: bytes, starts: np.ndarray, window: int) -> tuple[list[bytes], int]:
+def _kept(text: bytes, first: np.ndarray, past: np.ndarray) -> tuple[list[bytes], int]:
     words = text.split()
-    marks = np.zeros(len(words) + 1, dtype=np.int64)
-    marks[starts] += 1
-    np.subtract.at(marks, starts + window, 1)
-    keep = np.cumsum(marks[:-1]) == 0
-    return [w for w, k in zip(words, keep.tolist(), strict=True) if k], len(words)
+    out, at = [], 0
+    for a, b in zip(first.tolist(), past.tolist(), strict=True):
+        out += words[at:a]
+        at = b
+    return out + words[at:], len(words)
 
 
 def dedup_substrings(df: DataFrame, *, window: int = WINDOW, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, text): kept words joined by spaces; text is null without ``keep_text``."""
     docs = keyed(df, id_col, text_col)
     survey = written(_survey(docs, window), "survey")
-    firsts = survey.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    firsts = survey.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     of_firsts = survey.join(firsts, "doc_id", "left_semi")
     runs = written(repeated_windows(docs, of_firsts, window), "runs")
-    # texts of the documents that are cut; their number decides how they are found
-    n = runs.count()
-    cut_ids = F.broadcast(runs) if n <= BROADCAST_DOCS else runs
+    # the size of the stretches decides how their texts are found
+    size = runs.agg(F.sum(F.size("first") + 3)).first()[0] or 0
+    cut_ids = F.broadcast(runs) if size <= BROADCAST_RUNS else runs
     kind = "text string, " if keep_text else ""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, removed, digests = [], [], []
-        for text, starts in zip(as_bytes(batch.column(1)), batch.column(2), strict=True):
-            kept, total = _kept(text, starts.values.to_numpy().astype(np.int64), window)
+        for text, first, past in zip(as_bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True):
+            kept, total = _kept(text, first.values.to_numpy(), past.values.to_numpy())
             texts.append(b" ".join(kept).decode())
             removed.append(total - len(kept))
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         out = [batch.column(0), *([pa.array(texts, pa.string())] if keep_text else []), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
         return pa.RecordBatch.from_arrays(out, names=["doc_id", *(["text"] if keep_text else []), "n_removed", "sha"])
 
-    changed = map_batches(docs.join(cut_ids, "doc_id").select("doc_id", "text", "starts"), cut, f"doc_id long, {kind}n_removed long, sha string")
+    changed = map_batches(docs.join(cut_ids, "doc_id").select("doc_id", "text", "first", "past"), cut, f"doc_id long, {kind}n_removed long, sha string")
     if keep_text:
         changed = changed.withColumnRenamed("text", "cut_text")
     # a document that is no first of its word sequence is covered whole
