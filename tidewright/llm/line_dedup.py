@@ -26,26 +26,31 @@ BAND = 0.1
 BROADCAST_LINES = 200_000
 
 
-def _lines(text: Column) -> Column:
-    """(at, h1, h2, context) of the lines that are not blank; context covers the lines before and after."""
-    parts = F.split(text, "\n")
+def _lines(df: DataFrame, text_col: str, *others: Column) -> DataFrame:
+    """``others`` and (at, h1, h2, context) of the lines that are not blank; context covers the lines before and after."""
+    # the parts are a column of their own: within the lambda they'd be split again for every line
+    parts = F.col("parts")
     near = lambda i: F.coalesce(F.get(parts, i), F.lit("\n"))  # noqa: E731  no line holds a line feed
     rows = F.transform(
         parts,
-        lambda x, i: F.struct(
-            i.alias("at"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), F.xxhash64(near(i - 1), near(i + 1)).alias("context"),
-            (F.length(F.trim(x)) > 0).alias("full"),
+        lambda x, i: F.when(
+            F.length(F.trim(x)) > 0,
+            F.struct(
+                i.alias("at"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), F.xxhash64(near(i - 1), near(i + 1)).alias("context")
+            ),
         ),
     )
-    return F.filter(rows, lambda r: r["full"])
+    split = df.select(*others, F.split(F.col(text_col), "\n").alias("parts"))
+    keep = [c for c in split.columns if c != "parts"]
+    return split.select(*keep, F.explode(rows).alias("r")).where("r IS NOT NULL").select(*keep, "r.*")
 
 
 def boilerplate(df: DataFrame, *, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text") -> DataFrame:
     """(h1, h2) of the lines that stand at ``min_sites`` sites or more."""
-    lines = df.select(F.col(site_col).cast("string").alias("site"), F.explode(_lines(F.col(text_col))).alias("r")).select("site", "r.h1", "r.h2", "r.context")
-    lines = lines.where(F.col("site").isNotNull())
-    shared = lines.groupBy("h1", "h2").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo < hi").select("h1", "h2")
-    shared = written(shared, "shared-lines")
+    lines = _lines(df.where(F.col(site_col).isNotNull()), text_col, F.col(site_col).cast("string").alias("site")).drop("at")
+    # numbers take part in Spark's hash aggregates, strings of different lengths don't
+    bounds = lines.groupBy("h1", "h2").agg(F.min(F.xxhash64("site")).alias("lo"), F.max(F.xxhash64("site")).alias("hi"))
+    shared = written(bounds.where("lo < hi").select("h1", "h2"), "shared-lines")
     among = lines.join(small_or_shuffled(shared, BROADCAST_LINES), ["h1", "h2"], "left_semi")
     sites = written(among.groupBy("h1", "h2", "context").agg(F.min("site").alias("site")).select("h1", "h2", "site"), "line-sites")
     spread = sites.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_SIZE))).alias("n"))
@@ -62,18 +67,17 @@ def drop_boilerplate(
     """All columns of ``df``, texts without their boilerplate lines, and n_lines and n_removed (under clashing names
     the new columns win)."""
     lines = written(boilerplate(df, min_sites=min_sites, site_col=site_col, text_col=text_col), "boilerplate")
-    each = df.select(F.col(id_col).alias("_id"), F.explode(_lines(F.col(text_col))).alias("r")).select("_id", "r.at", "r.h1", "r.h2")
+    each = _lines(df, text_col, F.col(id_col).alias("_id")).drop("context")
     drop = each.join(small_or_shuffled(lines, BROADCAST_LINES), ["h1", "h2"], "left_semi").groupBy("_id").agg(F.collect_set("at").alias("_drop"))
-    keep = df.drop(*(c for c in ("_id", "_drop") if c in df.columns))
-    joined = keep.join(drop, keep[id_col] == drop["_id"], "left")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    keep = df.drop(*(c for c in ("_id", "_drop", "_parts") if c in df.columns))
+    joined = keep.join(drop, keep[id_col] == drop["_id"], "left").withColumn("_parts", F.split(F.col(text_col), "\n"))
+    kept = F.array_join(F.filter("_parts", lambda x, i: ~F.array_contains("_drop", i)), "\n")
     new = {
         text_col: F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept),
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"),
+        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_parts")).cast("long"),
         "n_removed": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"),
     }
-    return joined.withColumns(new).drop("_id", "_drop")
+    return joined.withColumns(new).drop("_id", "_drop", "_parts")
 
 
 ORACLE = f"""
