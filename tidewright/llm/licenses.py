@@ -156,11 +156,15 @@ def _places(padded: Column, expression: Column) -> Column:
     sizes = F.transform(found, _spaces)
     total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
-    def place(n: Column, i: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(sizes, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + n).alias("end"))
+    def places(p: Column) -> Column:
+        def place(n: Column, i: Column) -> Column:
+            start = total(F.slice(p["gaps"], F.lit(1), i + 1)) + total(F.slice(p["sizes"], F.lit(1), i))
+            return F.struct(start.alias("start"), (start + n).alias("end"))
 
-    return F.transform(sizes, place)
+        return F.transform(p["sizes"], place)
+
+    # an array of one binds both, so that they aren't made again for every place
+    return F.flatten(F.transform(F.array(F.struct(gaps.alias("gaps"), sizes.alias("sizes"))), places))
 
 
 def detections(padded: Column) -> Column:
