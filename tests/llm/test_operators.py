@@ -1,0 +1,415 @@
+"""Each operator against a brute-force version, over texts with every awkward case."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.llm import (
+    decontamination,
+    language,
+    licenses,
+    line_dedup,
+    media,
+    packing,
+    queries,
+    simhash,
+    substring_dedup,
+    toxicity,
+    warc,
+)
+
+SMALL = "/root/testdata/sf0.001"
+rng = random.Random(5)
+WORDS = ["the", "of", "Harbour", "tide", "stone", "ring", "éclat", "wind", "Ömer", "x1"]
+
+
+def prose(n: int, words: list[str] = WORDS) -> str:
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+PASSAGE, BASE = prose(60), prose(300)
+BASE_WORDS = BASE.split()
+TEXTS = [
+    None, "", "   \n\t ", "one", "two words", BASE, BASE, BASE.upper(), " ".join([*BASE_WORDS[:150], "changed", *BASE_WORDS[151:]]), PASSAGE, prose(20) + " " + PASSAGE + " " + prose(30),
+    prose(5) + "\n" + PASSAGE, prose(49), prose(50), "%%% *** !!!", "a" * 3000, prose(20_000), "line\n\nline\nother line\n", " words apart ", "<|endoftext|> \x00\x01 odd",
+    "Licensed under the MIT License. CC-BY-NC 4.0; Apache License, Version 2.0", "cc by nc cc by nc", PASSAGE, prose(300),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark_session: SparkSession) -> DataFrame:
+    rows = [(k, t, ["en", "de", None][k % 3], f"src{k % 4}", None if t is None else len(t)) for k, t in enumerate(TEXTS)]
+    rows.append(rows[9])  # a repeated row
+    # names that the operators use inside, too
+    df = spark_session.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({"key": F.lit(1), "component_id": F.lit("x"), "rest": F.lit("r"), "n_words": F.lit(2.0), "fp": F.lit(0), "_id": F.lit(7)})
+
+
+@pytest.fixture(scope="module")
+def empty(docs: DataFrame) -> DataFrame:
+    return docs.where("false")
+
+
+def rows_of(df: DataFrame, key: str = "doc_id") -> dict:
+    out = {}
+    for r in df.collect():
+        d = r.asDict()
+        k = d.pop(key)
+        assert out.setdefault(k, d) == d, f"repeated rows differ: {k}"
+    return out
+
+
+# --- 1
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    shingles = [b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fps: dict[int, int], radius: int = 2) -> dict[int, int]:
+    label = {i: i for i in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in fps:
+            for b in fps:
+                if label[b] < label[a] and bin(fps[a] ^ fps[b]).count("1") <= radius:
+                    label[a], changed = label[b], True
+    return label
+
+
+def test_simhash(docs: DataFrame) -> None:
+    got = rows_of(simhash.simhash_components(docs))
+    fps = {k: fingerprint(t) for k, t in enumerate(TEXTS)}
+    assert {k: v["fp"] & (2**64 - 1) for k, v in got.items()} == fps
+    assert {k: v["component_id"] for k, v in got.items()} == brute_components(fps)
+
+
+@pytest.mark.parametrize("hot", [1, 64])
+def test_links_of_chains_and_hot_segments(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, hot: int) -> None:
+    monkeypatch.setattr(simhash, "HOT", hot)
+    random.seed(3)
+    fps = [random.getrandbits(64) for _ in range(40)]
+    for k in range(60):  # chains, and many that share a half
+        fps.append(fps[k] ^ 1 << random.randrange(64) ^ 1 << random.randrange(64))
+    fps += [(fps[0] & 0xFFFFFFFF) | random.getrandbits(32) << 32 for _ in range(30)]
+    fps = list(dict.fromkeys(fps))
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), k) for k, f in enumerate(fps)], "fp long, node long")
+    found = {r["node"]: r["component"] for r in simhash.components(simhash.link_fingerprints(df)).collect()}
+    want = {k: c for k, c in brute_components(dict(enumerate(fps))).items()}
+    sizes = defaultdict(int)
+    for c in want.values():
+        sizes[c] += 1
+    assert found == {k: c for k, c in want.items() if sizes[c] > 1}
+
+
+def test_near_duplicates_keep_one_of_each_group(docs: DataFrame) -> None:
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    gone = set(range(len(TEXTS))) - kept
+    assert gone == {6, 8, 11, 22}, gone  # equal, one word changed, the passage with a few words more, equal passage
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_many_near_copies_have_one_leader(spark: SparkSession) -> None:
+    words = prose(400, [f"w{k}" for k in range(900)]).split()
+    rows = []
+    for k in range(60):
+        own = list(words)
+        for _ in range(2):
+            own[rng.randrange(400)] = f"new{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(100 + k, prose(400, [f"z{k}_{j}" for j in range(50)])) for k in range(20)]
+    left = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left >= {100 + k for k in range(20)}
+    assert len(left) <= 22
+
+
+# --- 2
+
+
+def test_toxicity(spark: SparkSession) -> None:
+    insults = ["blockhead", "numbskull", "dimwit"]
+    clean = [f"{prose(12)}. {prose(10)}." for _ in range(120)]
+    bad = [f"{prose(8)} {rng.choice(insults)} {prose(3)} {rng.choice(insults)}. {prose(9)}." for _ in range(60)]
+    rows = [(t, 0) for t in clean] + [(t, 1) for t in bad]
+    model = toxicity.fit(rows)
+    score = toxicity.Scorer(model).scores
+    assert min(score(["what a blockhead and dimwit", "such a b.l.o.c.k.h.e.a.d and dimwiit"])) > 0.5
+    assert max(score(["the tide of wind", "", None, "???"])) < 0.5
+    assert toxicity.fit([("a", 0)]) is None
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)] + [(900, 1), (None, 0), (3, None)], "doc_id long, toxic int")
+    got = rows_of(toxicity.held_out_scores(df, labels))
+    right = [got[k]["predicted"] == y for k, (_, y) in enumerate(rows) if got[k]["held_out"]]
+    assert sum(right) >= 0.9 * len(right) and len(got) == len(rows) + 2
+    assert all(v["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, v in got.items())
+    assert {v["score"] for v in rows_of(toxicity.held_out_scores(df, labels.where("false"))).values()} == {0.0}
+    kept = toxicity.drop_toxic(df.withColumn("score", F.lit(1)), labels)
+    assert kept.columns == ["doc_id", "text", "score"] and 0 < kept.count() < df.count()
+
+
+def test_subsequence_kernel_is_exact() -> None:
+    def brute(word: str) -> dict[str, float]:
+        s, out = f"<{word}>", defaultdict(float)
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                    out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    words = ["banana", "scum", "s.cum", "é", "", "aaaaaaa"]
+    number, _, weight, norms = toxicity.subsequences(words)
+    for n, word in enumerate(words):
+        want = sorted(brute(word).values())
+        assert np.allclose(sorted(weight[number == n]), want)
+        assert np.isclose(norms[n], np.sqrt(np.sum(np.square(want))) or 1.0)
+
+
+# --- 3
+
+
+def test_licenses(docs: DataFrame) -> None:
+    got = rows_of(licenses.report(docs))
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rules = [(label, re.compile(f" (?:{x})(?= )", re.A), p, w) for label, _, x, p, w in licenses.rules()]
+    for k, text in enumerate(TEXTS):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(table))
+        places = [(i, label) for phrase, label in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        padded = f" {' '.join(words)} "
+        found = [(padded.count(" ", 0, m.start()), padded.count(" ", 0, m.end()), label, p, w) for label, rx, p, w in rules for m in rx.finditer(padded)]
+        kept = [d for d in found if d[3] == 0 or not any(o[0] <= d[0] and o[1] >= d[1] and (o[3] < d[3] or (o[3] == d[3] and o[1] - o[0] > d[1] - d[0])) for o in found)]
+        assert got[k] == {
+            "n_words": len(words), "n_base": len(places), "first_word": min((i for i, _ in places), default=None), "last_word": max((i for i, _ in places), default=None),
+            "base_labels": ",".join(sorted({x for _, x in places})), "labels": ",".join(sorted({d[2] for d in kept})), "score": max((d[4] for d in kept), default=0.0),
+        }, k
+    assert got[20]["base_labels"] == "apache-2,cc-by-nc,mit" and got[21]["n_base"] == 2
+
+
+def test_every_license_rule_passes_the_gate() -> None:
+    for _, keyword, expression, _, _ in licenses.rules():
+        plain = re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", expression)
+        assert any(stem in expression or stem in plain or stem in keyword for stem in licenses.STEMS), expression
+
+
+# --- 4
+
+
+def test_line_dedup(spark: SparkSession) -> None:
+    rows = [(k, f"own {k}\nfooter line\nend {k}", f"s{k % 12}") for k in range(40)]
+    rows += [(100 + k, "copied one\ncopied two\ncopied three", f"s{k}") for k in range(12)]  # copies: one context
+    rows += [(200 + k, f"rare {k}\nfew sites", f"s{k % 9}") for k in range(30)]
+    rows += [(300, None, "s1"), (301, "", "s2"), (302, "footer line", None), (303, "\n\n  \n", "s3"), (300, None, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rows_of(line_dedup.drop_boilerplate(df.withColumns({"n_lines": F.lit("z"), "r": F.lit(1), "parts": F.lit("p")})).select("doc_id", "text", "n_lines", "n_removed"))
+    assert got[0] == {"text": "own 0\nend 0", "n_lines": 3, "n_removed": 1}
+    assert got[100]["n_removed"] == 0 and got[200]["n_removed"] == 0
+    assert got[300] == {"text": None, "n_lines": 0, "n_removed": 0} and got[302]["text"] == "" and got[303]["n_removed"] == 0
+    assert line_dedup.drop_boilerplate(df.where("false")).count() == 0
+
+
+def test_line_dedup_equals_its_sql(spark: SparkSession) -> None:
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    got = {tuple(r) for r in queries.op4_line_dedup(spark, SMALL).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()}
+    assert got == set(con.sql(queries.ORACLES["op4_line_dedup"]).fetchall())
+
+
+# --- 5
+
+
+def test_language(docs: DataFrame, spark: SparkSession) -> None:
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["zu", "re", "st"], "cc": ["éa", "ñi", "lo"]}
+    rows = []
+    for k in range(300):
+        name = ["aa", "bb", "cc"][k % 3]
+        rows.append((k, " ".join("".join(rng.choices(syllables[name], k=3)) for _ in range(rng.randrange(3, 40))), name))
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "123 !?", "cc"), (903, "kalomi", None)]
+    got = rows_of(language.identify_held_out(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    right = [got[k]["lang_pred"] == name for k, _, name in rows[:300] if got[k]["held_out"]]
+    assert sum(right) >= 0.97 * len(right) > 0
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (900, 901, 902))
+    assert got[903]["lang_pred"] in syllables and all(0 <= v["score"] <= 1 for v in got.values())
+    assert len(rows_of(language.identify_held_out(docs))) == len(TEXTS)
+    assert language.identify_held_out(docs.where("false")).count() == 0
+
+
+# --- 6
+
+
+def test_packing(docs: DataFrame, empty: DataFrame) -> None:
+    pieces = [r.asDict() for r in packing.pack(docs).collect()]
+    ids_of = packing.tokens("byte_bpe_50k.json").reference_ids
+    sequences, by_doc = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        sequences[p["sequence_id"]].append(p)
+        by_doc[p["doc_id"]].append(p)
+    for parts in sequences.values():
+        at = 0
+        for p in sorted(parts, key=lambda p: p["offset"]):
+            assert p["offset"] == at and len(p["ids"]) == p["length"] == len(p["ids"])
+            at += p["length"]
+        assert at == 1024 or (at < 1024 and at & (at - 1) == 0)
+    for k, text in enumerate(TEXTS):
+        want = np.append(ids_of(text or ""), 0).astype(np.uint32)
+        copies = 2 if k == 9 else 1
+        got = sorted(by_doc[k], key=lambda p: p["start"])
+        assert sum(p["length"] for p in got) == copies * len(want)
+        for p in got:
+            part = want[p["start"] : p["start"] + p["length"]]
+            assert p["doc_tokens"] == len(want) and p["ids_crc32"] == zlib.crc32(part.astype("<u4").tobytes()) and p["ids"] == part.tolist()
+    assert packing.pack(empty).count() == 0
+
+
+def test_hilbert_curve_visits_neighbours() -> None:
+    side = np.arange(8)
+    points = np.stack(np.meshgrid(side, side, side, indexing="ij"), axis=-1).reshape(-1, 3)
+    keys = packing.hilbert_keys(points, depth=3)
+    assert sorted(keys.tolist()) == list(range(512))
+    path = points[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_fast_tokens_are_those_of_the_library(spark: SparkSession) -> None:
+    t = packing.tokens("byte_bpe_50k.json")
+    for text in [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [x for x in TEXTS if x]:
+        assert (t.ids(text) == t.reference_ids(text)).all()
+
+
+# --- 7
+
+
+def test_substring_dedup(docs: DataFrame, empty: DataFrame) -> None:
+    window = substring_dedup.WINDOW
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
+    first: dict[tuple, int] = {}
+    for k, t in enumerate(TEXTS):
+        w = split(t)
+        for i in range(len(w) - window + 1):
+            first.setdefault(tuple(w[i : i + window]), k)
+    got = rows_of(substring_dedup.dedup_substrings(docs))
+    removed = 0
+    for k, t in enumerate(TEXTS):
+        w = split(t)
+        hit = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < k:
+                hit[i : i + window] = [True] * window
+        kept = b" ".join(x for x, h in zip(w, hit, strict=True) if not h)
+        removed += sum(hit)
+        assert (got[k]["n_words"], got[k]["n_removed"], got[k]["kept_sha256"]) == (len(w), sum(hit), hashlib.sha256(kept).hexdigest()), k
+    assert removed > 500
+    assert substring_dedup.dedup_substrings(empty).count() == 0
+
+
+# --- 8
+
+
+def test_warc(spark: SparkSession) -> None:
+    big, other = "<p>" + "x" * 2000 + "</p>", "é" * 600
+    rows = [(1, "u1", big), (5, None, big), (3, "u3", big), (2, "u2", "short"), (4, "u4", "short"), (6, "u6", None), (7, "", ""), (8, "a b\r\nc", other), (9, "u", other), (9, "u", other)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "first": F.lit(2)})
+    got = rows_of(warc.read_records(warc.write_bundles(pages)), "page_id")
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        assert got[i]["payload_bytes"] == len(raw) and got[i]["payload_digest"] == hashlib.sha1(raw).hexdigest()
+    assert {k: v["refers_to"] for k, v in got.items()} == {1: 5, 5: None, 3: 5, 2: None, 4: None, 6: None, 7: None, 8: 9, 9: None}
+    assert {v["record_type"] for v in got.values()} == {"response", "revisit"}
+    assert warc.read_records(warc.write_bundles(pages.where("false"))).count() == 0
+
+
+def test_bundle_round_trip(tmp_path) -> None:  # noqa: ANN001
+    import pyarrow.fs
+    import zstandard
+
+    records = [warc.record(k, "http://x", prose(k * 30).encode(), "d", None) for k in range(50)]
+    with open(tmp_path / "b", "wb") as f:
+        w = warc.BundleWriter(f, frame_bytes=5000)
+        places = [w.add(r) for r in records]
+        w.finish()
+    assert places[-1][0] > 3
+    reader = warc.BundleReader(pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / "b")))
+    for k in rng.sample(range(50), 50):
+        assert reader.read(*places[k]) == records[k]
+        assert warc.parse(records[k])[1] is not None
+    # an ordinary decoder reads the frames in a row and skips the table
+    with open(tmp_path / "b", "rb") as f:
+        assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == b"".join(records)
+
+
+# --- 9
+
+
+def test_decontamination(docs: DataFrame, spark: SparkSession) -> None:
+    items = [(1, PASSAGE), (2, BASE), (3, "two words"), (4, ""), (5, None), (6, " ".join(BASE_WORDS[100:112])), (7, "cc-by nc"), (7, "stone ring?"), (8, PASSAGE), (None, "wind")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    windows: dict[tuple, set[str]] = defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - 9)) if w and i is not None else ():
+            windows[tuple(w[k : k + 10])].add(str(i))
+    sizes = {len(w) for w in windows}
+    for blocks in (400_000, 40):
+        got = rows_of(decontamination.contamination(docs, bench, block_words=blocks, keep_text=False))
+        for k, t in enumerate(TEXTS):
+            w = split(t)
+            hit, named = set(), set()
+            for n in sizes:
+                for i in range(len(w) - n + 1):
+                    if found := windows.get(tuple(w[i : i + n])):
+                        hit.update(range(i, i + n))
+                        named |= found
+            spans = [x for s in got[k]["spans"] for x in range(s["start"], s["end"])]
+            assert (got[k]["n_words"], set(spans), len(spans), got[k]["items"]) == (len(w), hit, len(hit), sorted(named)), k
+    clean = decontamination.decontaminate(docs, bench.where("item_id = 1"))
+    assert clean.columns == docs.columns
+    assert {r["doc_id"] for r in clean.collect()} == set(range(len(TEXTS))) - {9, 11, 22} - ({10} if len(TEXTS[10].split()) < 120 else set())
+    assert decontamination.decontaminate(docs, bench.where("false")).count() == len(TEXTS) + 1
+
+
+def test_automaton_lengths() -> None:
+    a = decontamination.ItemAutomaton([("1", b"a b c a b d".split()), ("2", b"b d a".split())], 3)
+    assert a.matching_lengths(b"x a b d a b c a q b d".split()) == [0, 1, 2, 3, 3, 2, 3, 4, 0, 1, 2]
+
+
+def test_spans_are_cut_from_the_text() -> None:
+    assert decontamination.cut_spans("Keep, cut-me now; keep.", [(1, 3)]) == "Keep,  now; keep."
+
+
+# --- 10
+
+
+def test_media(docs: DataFrame, empty: DataFrame) -> None:
+    got = rows_of(media.media_features(media.store_media(docs)))
+    for k, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        assert (got[k]["n_bytes"], got[k]["payload_bytes"]) == (len(raw), len(payload))
+        assert got[k]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got[k]["tail_crc32"] == zlib.crc32(payload[-64:])
+    assert got[5] == got[6] and got[0] == got[1]
+    assert media.media_features(media.store_media(empty)).count() == 0
+
+
+def test_registered_queries_have_the_contract_columns(spark: SparkSession) -> None:
+    columns = {
+        "op1_simhash": "doc_id fingerprint component_id", "op2_toxicity": "doc_id held_out score predicted", "op3_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
+        "op5_language": "doc_id held_out lang_pred score", "op6_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op7_substring_dedup": "doc_id n_words n_removed kept_sha256",
+        "op8_warc": "page_id payload_bytes payload_digest record_type refers_to", "op9_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op10_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    }
+    for name, want in columns.items():
+        assert set(want.split()) <= set(queries.QUERIES[name](spark, SMALL).columns), name

@@ -91,10 +91,10 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 96, ridge: float = 1e-3) -
 def train(df: DataFrame, usable: Column, *, train_docs: int = 2000, landmarks: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit on at most ``train_docs`` rows for which ``usable`` holds."""
     rows = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     # ids alone are ordered; their texts are fetched after
-    ids = rows.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
-    picked = rows.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("_id"), "left_semi")
-    found = picked.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(2 * train_docs).collect()
+    ids = rows.select("i").orderBy(F.xxhash64("i"), "i").limit(train_docs).distinct()
+    found = rows.join(F.broadcast(ids), "i", "left_semi").limit(2 * train_docs).collect()
     found.sort(key=lambda r: (hash_of(r["i"]), r["t"]))
     return fit([(r["t"], r["l"]) for r in found], landmarks)
 

@@ -67,17 +67,17 @@ def drop_boilerplate(
     """All columns of ``df``, texts without their boilerplate lines, and n_lines and n_removed (under clashing names
     the new columns win)."""
     lines = written(boilerplate(df, min_sites=min_sites, site_col=site_col, text_col=text_col), "boilerplate")
-    each = _lines(df, text_col, F.col(id_col).alias("_id")).drop("context")
-    drop = each.join(small_or_shuffled(lines, BROADCAST_LINES), ["h1", "h2"], "left_semi").groupBy("_id").agg(F.collect_set("at").alias("_drop"))
-    keep = df.drop(*(c for c in ("_id", "_drop", "_parts") if c in df.columns))
-    joined = keep.join(drop, keep[id_col] == drop["_id"], "left").withColumn("_parts", F.split(F.col(text_col), "\n"))
-    kept = F.array_join(F.filter("_parts", lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    ident, drop_col, parts_col = "_tidewright_id", "_tidewright_drop", "_tidewright_parts"
+    each = _lines(df, text_col, F.col(id_col).alias(ident)).drop("context")
+    drop = each.join(small_or_shuffled(lines, BROADCAST_LINES), ["h1", "h2"], "left_semi").groupBy(ident).agg(F.collect_set("at").alias(drop_col))
+    joined = df.join(drop, df[id_col] == drop[ident], "left").withColumn(parts_col, F.split(F.col(text_col), "\n"))
+    kept = F.array_join(F.filter(parts_col, lambda x, i: ~F.array_contains(drop_col, i)), "\n")
     new = {
-        text_col: F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept),
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_parts")).cast("long"),
-        "n_removed": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"),
+        text_col: F.when(F.col(drop_col).isNull(), F.col(text_col)).otherwise(kept),
+        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts_col)).cast("long"),
+        "n_removed": F.when(F.col(drop_col).isNull(), 0).otherwise(F.size(drop_col)).cast("long"),
     }
-    return joined.withColumns(new).drop("_id", "_drop", "_parts")
+    return joined.withColumns(new).drop(ident, drop_col, parts_col)
 
 
 ORACLE = f"""

@@ -134,14 +134,17 @@ MOST_BITS = 48
 
 
 def _wide_keys(ball: bool) -> Column:
+    """Keys (segment number << 32 | value) of the segments of all lanes, with all values one bit away if ``ball``."""
+
+    def around(segment: Column, flips: list[int]) -> Column:
+        return F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: segment.bitwiseXOR(x))
+
     out = []
     for lane in range(LANES):
         for k, (at, n) in enumerate(CUTS):
             segment = F.shiftrightunsigned(F.col(f"fp{lane}"), at).bitwiseAND(F.lit((1 << n) - 1))
-            tag = F.lit((lane * len(CUTS) + k) << 32)
-            flips = [0, *(1 << b for b in range(n))] if ball else [0]
-            tagged = segment.bitwiseOR(tag)
-            out.append(F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x, tagged=tagged: tagged.bitwiseXOR(x)))
+            tag = F.lit((lane * len(CUTS) + k) << 32).cast("long")
+            out.append(around(segment.bitwiseOR(tag), [0, *(1 << b for b in range(n))] if ball else [0]))
     return F.concat(*out)
 
 
@@ -191,13 +194,14 @@ def near_duplicates(df: DataFrame, *, size: int = 5, similarity: float = 0.8, id
     heads = keys.groupBy("key").agg(F.min(F.struct("doc_id", *names)).alias("h")).select("key", F.col("h.doc_id").alias("a"), *(F.col(f"h.{n}").alias(f"h{n}") for n in names))
     probes = firsts.withColumn("key", F.explode(_wide_keys(True)))
     star = probes.join(heads, "key").where((F.col("a") < F.col("doc_id")) & (_distance("", "h") <= MOST_BITS)).select("a", F.col("doc_id").alias("b"))
-    round1 = written(components(_similar(same.union(star).distinct(), texts, size, similarity)).where("node <> component"), "round1")
+    candidates = written(same.union(star).distinct(), "candidates")
+    round1 = written(components(_similar(candidates, texts, size, similarity)).where("node <> component"), "round1")
 
     left = written(firsts.join(round1.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "leaders")
     theirs = left.withColumn("key", F.explode(_wide_keys(False))).select("key", F.col("doc_id").alias("a"), *(F.col(n).alias(f"h{n}") for n in names))
     asking = left.withColumn("key", F.explode(_wide_keys(True)))
     pairs = asking.join(theirs, "key").where((F.col("a") < F.col("doc_id")) & (_distance("", "h") <= MOST_BITS)).select("a", F.col("doc_id").alias("b"))
-    round2 = components(_similar(pairs.distinct(), texts, size, similarity)).where("node <> component")
+    round2 = components(_similar(written(pairs.distinct(), "candidates"), texts, size, similarity)).where("node <> component")
     return round1.union(round2).select(F.col("node").alias("doc_id"), F.col("component").alias("leader"))
 
 
