@@ -26,7 +26,7 @@ from tidewright.streaming.observe import HealthStatus, QueryProgressObserver, St
 from tidewright.streaming.reader import CircuitBreakerError, StreamingTableReader, StreamingTrigger
 from tidewright.testing import DataFrameBuilder, MockDBUtilsModule
 
-KIND = T.StructType.fromDDL("id long, name string")
+KIND = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
 
 
 class Sink(MetricsSink):

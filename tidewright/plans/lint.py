@@ -48,8 +48,8 @@ def physical_plan(df: DataFrame) -> str:
 def estimates(df: DataFrame) -> tuple[int | None, int | None]:
     """(bytes, rows) that the optimiser expects; None where it doesn't know."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    size, rows = int(stats.sizeInBytes().toString()), stats.rowCount()
-    return (None if size >= 2**62 else size), (int(rows.get().toString()) if rows.isDefined() else None)
+    size, rows = int(str(stats.sizeInBytes())), stats.rowCount()
+    return (None if size >= 2**62 else size), (int(str(rows.get())) if rows.isDefined() else None)
 
 
 def _join_sides(df: DataFrame) -> list[int]:
@@ -59,7 +59,7 @@ def _join_sides(df: DataFrame) -> list[int]:
         node = stack.pop()
         children = [node.children().apply(k) for k in range(node.children().size())]
         if node.nodeName() == "Join":
-            found += [int(c.stats().sizeInBytes().toString()) for c in children]
+            found += [int(str(c.stats().sizeInBytes())) for c in children]
         stack += children
     return found
 

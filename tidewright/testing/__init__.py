@@ -76,7 +76,8 @@ class TempTable:
         return self.table
 
     def __exit__(self, *exc: object) -> None:
-        self.table.drop()
+        if hasattr(self, "table"):
+            self.table.drop()
 
 
 def assert_schema_equal(actual: T.StructType, expected: T.StructType, *, check_nullable: bool = False) -> None:
