@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -32,9 +33,13 @@ from tidewright.llm.common import fold, map_batches, restored, single_thread, wi
 
 DECAY, SPAN, NEAR, POWER = 0.7, 6, 0.4, 2
 #: Landmarks of each kind.
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 32
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 8
+#: Log odds from which a token counts as tied to the toxic label.
+TIED = 1.5
+#: Share of toxic documents that the scores are set for.
+PRIOR = 0.3
 #: Distinct tokens whose margins a worker remembers; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 LONGEST = 40
 #: Stand before and after a token and count as characters, so that where a word starts and ends matters.
 START, END = "<", ">"
@@ -104,6 +109,9 @@ class Landmarks:
         order = np.argsort(column, kind="stable")
         self.first = np.searchsorted(column[order], np.arange(len(self.known) + 1))
         self.holder, self.share = number[order], (weight / norms[number])[order]
+        self.most = np.maximum.reduceat(self.share, self.first[:-1]) if len(self.known) else np.empty(0)
+        self.maybe = np.zeros(1 << 20, dtype=bool)  # by the low bits of a subsequence's hash
+        self.maybe[self.known & 0xFFFFF] = True
         own = self.near(words)[1]
         roots, vectors = np.linalg.eigh((own + own.T) / 2)
         good = roots > 1e-4
@@ -112,13 +120,17 @@ class Landmarks:
     def near(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the tokens that are near some landmark, their rows of similarities)."""
         number, h, weight, norms = subsequences(tokens)
+        likely = np.flatnonzero(self.maybe[h & 0xFFFFF])
+        number, h, weight = number[likely], h[likely], weight[likely]
         at = np.searchsorted(self.known, h)
         at[at == len(self.known)] = 0
         hit = self.known[at] == h if len(self.known) else np.zeros(0, dtype=bool)
         number, at, weight = number[hit], at[hit], weight[hit]
-        # by Cauchy-Schwarz no landmark is nearer than what the shared subsequences weigh
-        bound = np.sqrt(np.bincount(number, weight * weight, minlength=len(tokens))) / norms
-        want = bound[number] >= NEAR
+        # no landmark is nearer than the shared subsequences weigh together (Cauchy-Schwarz), nor than the sum of what
+        # each could add to the landmark that holds most of it
+        n = len(tokens)
+        bound = np.minimum(np.sqrt(np.bincount(number, weight * weight, minlength=n)), np.bincount(number, weight * self.most[at], minlength=n)) / norms
+        want = np.flatnonzero(bound[number] >= NEAR)
         number, at, weight = number[want], at[want], weight[want]
         if not len(number):
             return np.empty(0, dtype=np.int64), np.zeros((0, len(self.words)))
@@ -208,8 +220,8 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, round
 
 
 def _sigmoid(x: np.ndarray, label: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic fit over the columns of ``x`` and a constant, with equal weight for both labels."""
-    weight = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label <= 0).sum()))
+    """Weights of a logistic fit over the columns of ``x`` and a constant; label 1 counts as if it were ``PRIOR`` of all."""
+    weight = np.where(label > 0, PRIOR / max(1, (label > 0).sum()), (1 - PRIOR) / max(1, (label <= 0).sum()))
     x = np.hstack((x, np.ones((len(x), 1))))
     w, y = np.zeros(x.shape[1]), (label > 0).astype(float)
     for _ in range(rounds):
@@ -225,9 +237,19 @@ def evidence(margins: list[float]) -> tuple[float, float]:
     return min(4.0, max(-2.0, max(margins))), math.log1p(sum(m + 1 for m in margins if m > -1))
 
 
+def _gapped(word: str) -> str:
+    """The word with one character more, a repeated or a foreign one, at a place that depends on the word."""
+    if len(word) < 4:
+        return word
+    n = zlib.crc32(word.encode())
+    at = 1 + n % (len(word) - 1)
+    return word[:at] + (word[at - 1] if n & 1024 else "x") + word[at:]
+
+
 def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int = CLEAN_LANDMARKS) -> Model | None:
     """Train on (text, label) rows."""
-    docs = [(sentences(t), 1 if y else -1) for t, y in rows]
+    shared: dict[str, str] = {}  # one object a token, however often it stands
+    docs = [([[shared.setdefault(w, w) for w in words] for words in sentences(t)], 1 if y else -1) for t, y in rows]
     n_toxic, n_clean = sum(y > 0 for _, y in docs), sum(y < 0 for _, y in docs)
     if not n_toxic or not n_clean:
         return None
@@ -235,17 +257,21 @@ def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int =
     for parts, y in docs:
         seen[y].update({w for words in parts for w in words})
     odds = {w: math.log((k + 0.5) / (n_toxic + 1) / ((seen[-1][w] + 0.5) / (n_clean + 1))) for w, k in seen[1].items() if k >= 3}
+    # a token is tied to the label if its odds are several times those of chance
     # tokens most tied to the label: by how many toxic documents they explain beyond chance
-    tied = sorted(odds, key=lambda w: (-(seen[1][w] / n_toxic - seen[-1][w] / n_clean) * max(0.0, odds[w]), w))[:toxic]
-    common = [w for w, _ in sorted(seen[-1].items(), key=lambda x: (-x[1], x[0])) if w not in set(tied) and len(w) > 2][: 8 * clean : 8]
-    marks = Landmarks(tied + common)
+    tied = sorted((w for w, x in odds.items() if x >= TIED), key=lambda w: (-(seen[1][w] / n_toxic - seen[-1][w] / n_clean) * max(0.0, odds[w]), w))[:toxic]
+    tied_set = set(tied)
+    frequent = sorted((w for w in seen[-1] if w not in tied_set and len(w) > 2), key=lambda w: (-seen[-1][w], w))
+    marks = Landmarks(tied + frequent[: 8 * clean : 8])
 
+    # toxic documents stand once more with a character put into their tied tokens, so that the machine bears such forms
+    gapped = [([[_gapped(w) if w in tied_set else w for w in words] for words in parts], y) for parts, y in docs if y > 0]
     near: dict[str, np.ndarray] = {}
-    vocabulary = list(seen[1].keys() | seen[-1].keys())
+    vocabulary = list({w for parts, _ in gapped for words in parts for w in words} | seen[1].keys() | seen[-1].keys())
     for k in range(0, len(vocabulary), 5000):
         part = vocabulary[k : k + 5000]
         number, found = marks.near(part)
-        near.update(zip([part[n] for n in number.tolist()], found, strict=True))
+        near.update(zip([part[n] for n in number.tolist()], map(np.array, found.astype(np.float32)), strict=True))
 
     def features(words: list[str]) -> np.ndarray:
         out = np.zeros(len(marks.words))
@@ -255,7 +281,7 @@ def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int =
         return out
 
     bags = []
-    for parts, y in docs:
+    for parts, y in docs + gapped:
         heat = [sum(max(0.0, odds.get(w, 0.0)) for w in words if w in near) for words in parts]
         order = sorted(range(len(parts)), key=lambda k: -heat[k])
         # of a clean document the hottest sentences and some others; all sentences of a toxic one may be chosen
@@ -265,12 +291,12 @@ def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int =
     for _ in range(4):
         x = np.concatenate([b[[s]] if y > 0 else b for (b, y), s in zip(bags, strongest, strict=True)])
         y = np.concatenate([np.full(1 if y > 0 else len(b), y) for b, y in bags])
-        cost = np.where(y > 0, 1 / n_toxic, 1 / max(1, (y < 0).sum())) * n_toxic
+        cost = np.where(y > 0, 1 / (2 * n_toxic), 1 / max(1, (y < 0).sum())) * n_toxic
         w, bias = _machine(x, y, cost, ridge=0.05)
         strongest = [int((b @ w).argmax()) for b, _ in bags]
     model = Model(marks, marks.whiten @ w, bias, np.zeros(3))
     every = Scorer(model).margins([t for t, _ in rows])
-    model.curve = _sigmoid(np.array([evidence(m or [bias]) for m in every]), np.array([y for _, y in bags]))
+    model.curve = _sigmoid(np.array([evidence(m or [bias]) for m in every]), np.array([y for _, y in docs]))
     return model
 
 
