@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,16 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose Python workers can import this package where it lies beside the job's files."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = df.sparkSession.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch, sliced so that Python holds a bounded number of texts."""
 
@@ -66,7 +77,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
             for k in range(0, batch.num_rows, BATCH_ROWS):
                 yield fn(batch.slice(k, BATCH_ROWS))
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import BATCH_ROWS, as_bytes, keyed
+from tidewright.llm.common import BATCH_ROWS, arrow_map, as_bytes, keyed
 
 LENGTH, END = 1024, 0
 DIMENSIONS, DEPTH, BUCKETS = 3, 10, 4096
@@ -222,8 +222,8 @@ def pack(
         packer.finish()
         yield packer.taken(keep_ids)
 
-    on_curve = keyed(df, id_col, text_col).mapInArrow(key, "doc_id long, text string, key long")
+    on_curve = arrow_map(keyed(df, id_col, text_col), key, "doc_id long, text string, key long")
     # the text's hash parts the copies that a table of repeated ids may hold
     sorted_docs = on_curve.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return sorted_docs.mapInArrow(cut, schema + (", ids array<int>" if keep_ids else ""))
+    return arrow_map(sorted_docs, cut, schema + (", ids array<int>" if keep_ids else ""))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import BATCH_ROWS, as_bytes, shared_dir, small_or_shuffled, written
+from tidewright.llm.common import BATCH_ROWS, arrow_map, as_bytes, shared_dir, small_or_shuffled, written
 
 FRAME_BYTES, BUNDLE_BYTES, LEAST = 1 << 18, 64 << 20, 1000
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -182,7 +182,7 @@ def write_bundles(
             bundle.finish()
             stream.close()
 
-    return written(rows.mapInArrow(run, INDEX), "warc-index")
+    return written(arrow_map(rows, run, INDEX), "warc-index")
 
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -211,7 +211,7 @@ def read_records(index: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    return index.mapInArrow(run, RECORDS)
+    return arrow_map(index, run, RECORDS)
 
 
 ORACLE = f"""
