@@ -72,7 +72,7 @@ def test_stages(spark: SparkSession, corpus: tuple[str, dict]) -> None:
         if name != "packing":
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
             state[name] = {r["doc_id"]: r["text"] for r in out.collect()}
-            assert all(r["n_chars"] == len(r["text"] or "") for r in out.collect())
+            assert all((r["n_chars"] or 0) == len(r["text"] or "") for r in out.collect())
         else:
             tokens = {r["doc_id"]: r["doc_tokens"] for r in out.collect()}
             assert set(tokens) == set(state["decontamination"])
