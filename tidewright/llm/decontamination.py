@@ -176,10 +176,11 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
 def contamination(
     documents: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, keep_text: bool = True,
-    carry: bool = False,
+    carry: bool = False, max_coverage: float | None = None,
 ) -> DataFrame:
     """Per document: text (null without ``keep_text``), n_words, spans of hit words and the items they come from; with ``carry`` the other columns
-    in a struct ``rest``."""
+    in a struct ``rest``. With ``max_coverage`` the last pass also cuts the spans from the text, and leaves out documents
+    over that share of whose words are hit."""
     spark = documents.sparkSession
     source = (with_rest if carry else keyed)(documents, id_col, text_col)
     rest = f", rest {source.schema['rest'].dataType.simpleString()}" if carry else ""
@@ -204,10 +205,11 @@ def contamination(
                 n_words.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in _merge(hit)])
                 items.append(sorted(found.union(named)))
+            if last and max_coverage is not None:
+                return _cut(batch, n_words, spans, items, max_coverage)
             text = batch.column(1) if keep_text or not last else pa.nulls(batch.num_rows, pa.string())
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), *batch.columns[5:]],
+                [batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), *batch.columns[5:]],
                 names=batch.schema.names,
             )
 
@@ -240,28 +242,32 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _cut(batch: pa.RecordBatch, n_words: list[int], spans: list[list[dict]], items: list[list[str]], max_coverage: float) -> pa.RecordBatch:
+    """The batch without its hit spans and without documents that they cover too far."""
+    keep, texts = [], []
+    for k, (text, n, hit) in enumerate(zip(batch.column(1).to_pylist(), n_words, spans, strict=True)):
+        pairs = [(x["start"], x["end"]) for x in hit]
+        if pairs and sum(e - s for s, e in pairs) > max_coverage * n:
+            continue
+        keep.append(k)
+        texts.append(cut_spans(text, pairs) if pairs else text)
+    kept = pa.array(keep, pa.int64())
+    own = [pa.array([n_words[k] for k in keep], pa.int64()), pa.array([spans[k] for k in keep], _SPANS), pa.array([items[k] for k in keep], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(kept), pa.array(texts, pa.string()), *own, *(c.take(kept) for c in batch.columns[5:])], names=batch.schema.names
+    )
+
+
 def decontaminate(
-    documents: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5, id_col: str = "doc_id",
-    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    documents: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """The documents' columns: hit spans removed; documents with over ``max_coverage`` of their words hit go."""
     found = contamination(
-        documents, benchmark, window=window, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col,
-        carry=True,
+        documents, benchmark, window=window, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, carry=True,
+        max_coverage=max_coverage,
     )
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, texts = [], []
-        for k, (text, n, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-            pairs = [(x["start"], x["end"]) for x in spans]
-            if pairs and sum(e - s for s, e in pairs) > max_coverage * n:
-                continue
-            keep.append(k)
-            texts.append(cut_spans(text, pairs) if pairs else text)
-        kept = pa.array(keep, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(kept), pa.array(texts, pa.string()), batch.column(5).take(kept)], names=["doc_id", "text", "rest"]
-        )
-
-    rest = found.schema["rest"].dataType.simpleString()
-    return restored(map_batches(found, cut, f"doc_id long, text string, rest {rest}"), documents, id_col, text_col)
+    return restored(found, documents, id_col, text_col)
