@@ -39,7 +39,7 @@ TIED = 1.5
 #: Share of toxic documents that the scores are set for.
 PRIOR = 0.3
 #: Distinct tokens whose margins a worker remembers; then it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 LONGEST = 40
 #: Stand before and after a token and count as characters, so that where a word starts and ends matters.
 START, END = "<", ">"
@@ -237,6 +237,19 @@ def evidence(margins: list[float]) -> tuple[float, float]:
     return min(4.0, max(-2.0, max(margins))), math.log1p(sum(m + 1 for m in margins if m > -1))
 
 
+def _bag(parts: list[list[str]], y: int, near: dict[str, np.ndarray], odds: dict[str, float], width: int) -> np.ndarray:
+    """Features of a document's sentences: all of a toxic one, of a clean one the hottest and some others."""
+    heat = [sum(max(0.0, odds.get(w, 0.0)) for w in words if w in near) for words in parts]
+    order = sorted(range(len(parts)), key=lambda k: -heat[k])
+    chosen = order if y > 0 else order[:4] + order[4 :: max(1, len(order) // 4)][:4]
+    out = np.zeros((max(1, len(chosen)), width))
+    for row, k in zip(out, chosen, strict=False):
+        for w in parts[k]:
+            if w in near:
+                row += near[w]
+    return out
+
+
 def _gapped(word: str) -> str:
     """The word with one character more, a repeated or a foreign one, at a place that depends on the word."""
     if len(word) < 4:
@@ -266,27 +279,16 @@ def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int =
 
     # toxic documents stand once more with a character put into their tied tokens, so that the machine bears such forms
     gapped = [([[_gapped(w) if w in tied_set else w for w in words] for words in parts], y) for parts, y in docs if y > 0]
-    near: dict[str, np.ndarray] = {}
-    vocabulary = list({w for parts, _ in gapped for words in parts for w in words} | seen[1].keys() | seen[-1].keys())
-    for k in range(0, len(vocabulary), 5000):
-        part = vocabulary[k : k + 5000]
-        number, found = marks.near(part)
-        near.update(zip([part[n] for n in number.tolist()], map(np.array, found.astype(np.float32)), strict=True))
-
-    def features(words: list[str]) -> np.ndarray:
-        out = np.zeros(len(marks.words))
-        for w in words:
-            if w in near:
-                out += near[w]
-        return out
-
     bags = []
-    for parts, y in docs + gapped:
-        heat = [sum(max(0.0, odds.get(w, 0.0)) for w in words if w in near) for words in parts]
-        order = sorted(range(len(parts)), key=lambda k: -heat[k])
-        # of a clean document the hottest sentences and some others; all sentences of a toxic one may be chosen
-        chosen = order if y > 0 else order[:4] + order[4 :: max(1, len(order) // 4)][:4]
-        bags.append((np.array([features(parts[k]) for k in chosen]) @ marks.whiten if chosen else np.zeros((1, marks.whiten.shape[1])), y))
+    every = docs + gapped
+    for k in range(0, len(every), 200):  # the similarities of one group's tokens at a time
+        part = every[k : k + 200]
+        vocabulary = list({w for parts, _ in part for words in parts for w in words})
+        near: dict[str, np.ndarray] = {}
+        for n in range(0, len(vocabulary), 5000):
+            number, found = marks.near(vocabulary[n : n + 5000])
+            near.update(zip([vocabulary[n + x] for x in number.tolist()], found.astype(np.float32), strict=True))
+        bags += [(_bag(parts, y, near, odds, len(marks.words)) @ marks.whiten, y) for parts, y in part]
     strongest = [0] * len(bags)
     for _ in range(4):
         x = np.concatenate([b[[s]] if y > 0 else b for (b, y), s in zip(bags, strongest, strict=True)])
@@ -295,8 +297,9 @@ def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int =
         w, bias = _machine(x, y, cost, ridge=0.05)
         strongest = [int((b @ w).argmax()) for b, _ in bags]
     model = Model(marks, marks.whiten @ w, bias, np.zeros(3))
-    every = Scorer(model).margins([t for t, _ in rows])
-    model.curve = _sigmoid(np.array([evidence(m or [bias]) for m in every]), np.array([y for _, y in docs]))
+    scorer = Scorer(model)
+    margins = [m for k in range(0, len(rows), 200) for m in scorer.margins([t for t, _ in rows[k : k + 200]])]
+    model.curve = _sigmoid(np.array([evidence(m or [bias]) for m in margins]), np.array([y for _, y in docs]))
     return model
 
 
