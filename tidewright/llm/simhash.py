@@ -22,11 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import as_bytes, keyed, map_batches, restored, with_rest, written
+from tidewright.llm.common import as_bytes, keyed, map_batches, restored, small_or_shuffled, with_rest, written
 from tidewright.llm.components import components
 
 #: Fingerprints that may share a segment value before they are linked by shared neighbours.
 HOT = 64
+HOT_KEYS = 100_000
+#: Ids (eight bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def shingles(text: bytes | None, size: int) -> list[bytes]:
@@ -104,12 +107,13 @@ def _segment_keys(fp: Column, ball: bool) -> Column:
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """From distinct (fp, node): links (a, b) between nodes, of every pair within two bits at least a connecting path."""
     table = fps.select("fp", "node", F.explode(_segment_keys(F.col("fp"), False)).alias("key"))
-    counts = table.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # few or no keys are hot, so both sides tell them apart by a small table
+    hot_keys = small_or_shuffled(written(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot"), HOT_KEYS)
     probes = fps.select(F.col("fp").alias("p"), F.col("node").alias("a"), F.explode(_segment_keys(F.col("fp"), True)).alias("key"))
-    cold = table.join(counts.where(F.col("n") <= HOT).select("key"), "key")
+    cold = table.join(hot_keys, "key", "left_anti")
     distance = F.bit_count(F.col("p").bitwiseXOR(F.col("fp")))
     near = probes.join(cold, "key").where((F.col("p") < F.col("fp")) & (distance <= 2)).select("a", F.col("node").alias("b"))
-    hot = probes.join(counts.where(F.col("n") > HOT).select("key"), "key", "left_semi").select("p", "a").distinct()
+    hot = probes.join(hot_keys, "key", "left_semi").select("p", "a").distinct()
     ones = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k))
     around = hot.select("a", F.explode(F.concat(F.array("p"), F.transform(ones, lambda x: F.col("p").bitwiseXOR(x)))).alias("z"))
     stars = around.groupBy("z").agg(F.collect_set("a").alias("all"), F.min("a").alias("a")).where(F.size("all") > 1)  # at most 65
@@ -154,13 +158,14 @@ def _distance(left: str, right: str) -> Column:
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets have the Jaccard similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = small_or_shuffled(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"), BROADCAST_IDS)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in as_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
     found = map_batches(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), sets, "doc_id long, s array<long>")
+    found = written(found, "sets")  # both sides read it
     a = found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     b = found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
 
@@ -208,4 +213,5 @@ def near_duplicates(df: DataFrame, *, size: int = 5, similarity: float = 0.8, id
 def drop_near_duplicates(df: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that follow another one; all columns stay."""
     gone = written(near_duplicates(df, size=size, similarity=similarity, id_col=id_col, text_col=text_col).select("doc_id").distinct(), "gone")
-    return restored(with_rest(df, id_col, text_col).join(gone, "doc_id", "left_anti"), df, id_col, text_col)
+    kept = with_rest(df, id_col, text_col).join(small_or_shuffled(gone, BROADCAST_IDS), "doc_id", "left_anti")
+    return restored(kept, df, id_col, text_col)
