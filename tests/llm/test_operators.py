@@ -138,6 +138,33 @@ def test_many_near_copies_have_one_leader(spark: SparkSession) -> None:
     assert len(left) <= 22
 
 
+def changed(words: list[str], at: int, n: int, mark: str) -> list[str]:
+    return [*words[:at], *(f"{mark}{k}" for k in range(n)), *words[at + n :]]
+
+
+def jaccard(a: list[str], b: list[str]) -> float:
+    x, y = (set(zip(*(w[k:] for k in range(5)), strict=False)) for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_links_through_followers_hold(spark: SparkSession) -> None:
+    rows, want = [], set()
+    for k in range(150):
+        first = [f"c{k}w{j}" for j in range(400)]
+        middle = changed(first, 20, 34, f"m{k}x")
+        last = changed(middle, 200, 34, f"l{k}x")
+        assert jaccard(first, middle) >= 0.8 <= jaccard(middle, last) and jaccard(first, last) < 0.8
+        rows += [(1000 + 3 * k + n, " ".join(w)) for n, w in enumerate((first, middle, last))]
+        # smaller ids that share buckets with the middle, but aren't near any
+        near = [changed(middle, at, 150, f"u{k}x{at}") for at in (100, 240)]
+        assert max(jaccard(n, w) for n in near for w in (first, middle, last, near[0] if n is near[1] else [])) < 0.8
+        rows += [(2 * k + n, " ".join(w)) for n, w in enumerate(near)]
+        want |= {1001 + 3 * k, 1002 + 3 * k}
+    gone = {r["doc_id"]: r["leader"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(gone) <= want and len(want) - len(gone) <= 2
+    assert all(leader in (1000 + (i - 1000) // 3 * 3, i - 1) for i, leader in gone.items())
+
+
 # --- 2
 
 

@@ -7,8 +7,9 @@ distances are verified. A segment value that more than ``HOT`` fingerprints shar
 fingerprints that look there are linked by their shared neighbours at one bit instead (two fingerprints are within two
 bits exactly if some 64-bit value is within one bit of both), which is exact, and no group then exceeds 65.
 
-:func:`near_duplicates` serves filtering: wider fingerprints of five-word shingles with more segments give candidates
-at a similarity of 0.8, the Jaccard similarity of the shingle sets is verified, and one document of each group leads.
+:func:`near_duplicates` serves filtering: MinHash bands of five-word shingle sets give candidates, as 64-bit
+fingerprints are too coarse at a similarity of 0.8; the Jaccard similarity of the sets is verified, and one document of
+each group leads.
 
 Defined results: null, empty and word-less texts have fingerprint zero and link like any other; a text of fewer words
 than a shingle is one shingle; equal rows have equal results; an empty table gives an empty one.
@@ -132,28 +133,41 @@ def simhash_components(df: DataFrame, size: int = 3, id_col: str = "doc_id", tex
 
 # --- filtering ------------------------------------------------------------------------------------------------------
 
-LANES, CUTS = 3, ((0, 21), (21, 21), (42, 22))
-#: Bits of 192 that texts at a Jaccard similarity of 0.8 differ in (29 expected), with room for chance.
-MOST_BITS = 48
+#: Bands of a MinHash signature and values in each: two shingle sets of similarity s share a band with probability
+#: 1 - (1 - s**ROWS)**BANDS, which is 0.998 at 0.8 and 0.9999 at 0.87; no pair that shares one is left unverified.
+BANDS, ROWS = 16, 5
+_MIX = np.array([xxhash.xxh64_intdigest(str(k), 7) | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)
+#: Shingles whose values under all functions are held at once.
+BLOCK = 2048
 
 
-def _wide_keys(ball: bool) -> Column:
-    """Keys (segment number << 32 | value) of the segments of all lanes, with all values one bit away if ``ball``."""
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The least value of distinct shingle hashes under each of the functions."""
+    out = np.full(len(_MIX), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(hashes), BLOCK):
+        np.minimum(out, (_MIX[:, None] * (hashes[k : k + BLOCK] ^ (_MIX[:, None] >> np.uint64(17)))).min(axis=1), out=out)
+    return out
 
-    def around(segment: Column, flips: list[int]) -> Column:
-        return F.transform(F.array(*(F.lit(x).cast("long") for x in flips)), lambda x: segment.bitwiseXOR(x))
 
-    out = []
-    for lane in range(LANES):
-        for k, (at, n) in enumerate(CUTS):
-            segment = F.shiftrightunsigned(F.col(f"fp{lane}"), at).bitwiseAND(F.lit((1 << n) - 1))
-            tag = F.lit((lane * len(CUTS) + k) << 32).cast("long")
-            out.append(around(segment.bitwiseOR(tag), [0, *(1 << b for b in range(n))] if ball else [0]))
-    return F.concat(*out)
+def signatures(df: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h1, h2, bands) of (doc_id, text): 128 bits of the shingle set and a key of each band; texts without words
+    are left out."""
 
-
-def _distance(left: str, right: str) -> Column:
-    return sum((F.bit_count(F.col(f"{left}fp{k}").bitwiseXOR(F.col(f"{right}fp{k}"))) for k in range(1, LANES)), F.bit_count(F.col(f"{left}fp0").bitwiseXOR(F.col(f"{right}fp0"))))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, whole, bands = [], [], []
+        for k, text in enumerate(as_bytes(batch.column(1))):
+            hashes = np.unique(shingle_hashes(text, size))
+            if not len(hashes):
+                continue
+            least = signature(hashes).reshape(BANDS, ROWS)
+            keep.append(k)
+            whole.append(xxhash.xxh3_128_intdigest(hashes.tobytes()))
+            bands.append(_signed([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least)]))
+        halves = [pa.array(_signed([w >> shift & 0xFFFFFFFFFFFFFFFF for w in whole])) for shift in (64, 0)]
+        ids = batch.column(0).take(pa.array(keep, pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, *halves, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
+
+    return map_batches(df, run, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -184,30 +198,37 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
 def near_duplicates(df: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, leader): documents that follow another one, which stays.
 
-    First, equal word sequences follow their smallest id. Then each fingerprint meets only the smallest id behind each
-    of its keys, so that large groups of near copies shrink to few leaders without their pairs being made; last, the
-    leaders that are left meet all others behind their keys. Links hold at a Jaccard similarity of ``similarity``.
+    First, equal shingle sets follow their smallest id. Then each set meets only the smallest id behind each of its
+    keys, so that large groups of near copies shrink to few leaders without their pairs being made; last, all sets that
+    share a key but not yet a leader meet each other, followers included. Links hold at a Jaccard similarity of
+    ``similarity``; groups are the components of all of them.
     """
     texts = keyed(df, id_col, text_col)
-    prints = written(fingerprints(texts, size, LANES).where("fp0 <> 0 or fp1 <> 0"), "prints")
-    names = [f"fp{k}" for k in range(LANES)]
-    firsts = prints.groupBy(*names).agg(F.min("doc_id").alias("doc_id"))
-    # equal fingerprints: candidates for equal texts, verified like all others
-    same = prints.join(firsts.withColumnRenamed("doc_id", "a"), names).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-
-    keys = firsts.withColumn("key", F.explode(_wide_keys(False)))
-    heads = keys.groupBy("key").agg(F.min(F.struct("doc_id", *names)).alias("h")).select("key", F.col("h.doc_id").alias("a"), *(F.col(f"h.{n}").alias(f"h{n}") for n in names))
-    probes = firsts.withColumn("key", F.explode(_wide_keys(True)))
-    star = probes.join(heads, "key").where((F.col("a") < F.col("doc_id")) & (_distance("", "h") <= MOST_BITS)).select("a", F.col("doc_id").alias("b"))
-    candidates = written(same.union(star).distinct(), "candidates")
-    round1 = written(components(_similar(candidates, texts, size, similarity)).where("node <> component"), "round1")
-
-    left = written(firsts.join(round1.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "leaders")
-    theirs = left.withColumn("key", F.explode(_wide_keys(False))).select("key", F.col("doc_id").alias("a"), *(F.col(n).alias(f"h{n}") for n in names))
-    asking = left.withColumn("key", F.explode(_wide_keys(True)))
-    pairs = asking.join(theirs, "key").where((F.col("a") < F.col("doc_id")) & (_distance("", "h") <= MOST_BITS)).select("a", F.col("doc_id").alias("b"))
-    round2 = components(_similar(written(pairs.distinct(), "candidates"), texts, size, similarity)).where("node <> component")
-    return round1.union(round2).select(F.col("node").alias("doc_id"), F.col("component").alias("leader"))
+    prints = written(signatures(texts, size), "prints")
+    firsts = written(prints.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("h1", "h2", "f.*"), "firsts")
+    same = prints.select("h1", "h2", F.col("doc_id").alias("b")).join(firsts.select("h1", "h2", F.col("doc_id").alias("a")), ["h1", "h2"]).where("a <> b").select("a", "b")
+
+    keys = firsts.select("doc_id", F.explode("bands").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    shared = written(keys.join(heads, "key"), "keys")
+    star = written(shared.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "candidates")
+    links1 = written(_similar(star, texts, size, similarity), "links")
+    round1 = written(components(links1), "round1")
+
+    members = shared.select("key", "doc_id").join(round1.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members = members.select("key", "doc_id", F.coalesce("component", "doc_id").alias("leader"))
+    split = members.groupBy("key").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo < hi").select("key")
+    members = written(members.join(split, "key"), "members")
+    # leaders first, so that members of one group don't meet
+    groups = members.select("key", "leader").distinct()
+    across = groups.withColumnRenamed("leader", "la").join(groups.withColumnRenamed("leader", "lb"), "key").where("la < lb")
+    left = members.select("key", F.col("leader").alias("la"), F.col("doc_id").alias("x"))
+    right = members.select("key", F.col("leader").alias("lb"), F.col("doc_id").alias("y"))
+    pairs = across.join(left, ["key", "la"]).join(right, ["key", "lb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "candidates")
+    links2 = _similar(pairs, texts, size, similarity)
+    found = components(same.union(links1).union(links2)).where("node <> component")
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("leader"))
 
 
 def drop_near_duplicates(df: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
