@@ -267,6 +267,20 @@ def test_line_dedup_equals_its_sql(spark: SparkSession) -> None:
     assert got == set(con.sql(queries.ORACLES["op4_line_dedup"]).fetchall())
 
 
+def test_line_dedup_counts_blocks_and_spares_near_copies(spark: SparkSession) -> None:
+    menu = "home page\nour products\nabout us all\ncontact form"
+    rows = [(k, f"{menu}\n{' '.join(f'own{k}w{j}' for j in range(40))}", f"s{k:02d}") for k in range(12)]
+    # the smallest site is the same in all contexts
+    rows += [(100 + 2 * k + n, f"{' '.join(f'a{k}w{j}' for j in range(40 + 20 * n))}\nshared notice\nend {k}", "s00" if n else f"t{k:02d}") for k in range(11) for n in (0, 1)]
+    story = [f"story line {j} has its own words" for j in range(60)]
+    rows += [(200 + k, "\n".join([*story[:30], f"changed in copy {k}", *story[30:]]), f"s{k:02d}") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rows_of(line_dedup.drop_boilerplate(df, copies="near").select("doc_id", "n_removed"))
+    assert {got[k]["n_removed"] for k in range(12)} == {4}
+    assert {got[k]["n_removed"] for k in range(100, 122)} == {1}
+    assert {got[k]["n_removed"] for k in range(200, 212)} == {0}
+
+
 # --- 5
 
 

@@ -1,7 +1,9 @@
 """Boilerplate lines by distinct-site spread.
 
-A line that many sites share is boilerplate. Copies of a document must not make its own lines so: among documents in
-which a line stands between the same two lines it counts for one site, the smallest.
+A line that many sites share is boilerplate. Copies of a document must not make its own lines so. There are two ways
+(``copies``): by "context", as the query's SQL has it, documents in which a line stands between the same two lines count
+for one site, the smallest, which also holds inner lines of equal blocks to one site. By "near", a line counts for every
+site that has it in a document which follows no near-duplicate; inner lines of menus and notices then count in full.
 
 Lines are 128-bit hashes. Those seen at one site only go first, by a plain aggregate. HyperLogLog sketches of the sites
 of the others merge by aggregation, from the map side on; lines whose estimate is near the threshold get exact distinct
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import small_or_shuffled, written
+from tidewright.llm.simhash import BROADCAST_IDS, near_duplicates
 
 MIN_SITES = 10
 #: Entries of a sketch: 2**12, which has a relative standard error of 1.6 % and is all but exact for small counts.
@@ -45,14 +48,33 @@ def _lines(df: DataFrame, text_col: str, *others: Column) -> DataFrame:
     return split.select(*keep, F.explode(rows).alias("r")).where("r IS NOT NULL").select(*keep, "r.*")
 
 
-def boilerplate(df: DataFrame, *, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(
+    df: DataFrame, *, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", copies: str = "context"
+) -> DataFrame:
     """(h1, h2) of the lines that stand at ``min_sites`` sites or more."""
-    lines = _lines(df.where(F.col(site_col).isNotNull()), text_col, F.col(site_col).cast("string").alias("site")).drop("at")
+    if copies not in ("context", "near"):
+        raise ValueError(f"copies: {copies}")
+    sited = df.where(F.col(site_col).isNotNull())
+    site = F.col(site_col).cast("string").alias("site")
+    lines = _lines(sited, text_col, site).drop("at")
     # numbers take part in Spark's hash aggregates, strings of different lengths don't
     bounds = lines.groupBy("h1", "h2").agg(F.min(F.xxhash64("site")).alias("lo"), F.max(F.xxhash64("site")).alias("hi"))
     shared = written(bounds.where("lo < hi").select("h1", "h2"), "shared-lines")
     among = lines.join(small_or_shuffled(shared, BROADCAST_LINES), ["h1", "h2"], "left_semi")
-    sites = written(among.groupBy("h1", "h2", "context").agg(F.min("site").alias("site")).select("h1", "h2", "site"), "line-sites")
+    if copies == "context":
+        return _spread(written(among.groupBy("h1", "h2", "context").agg(F.min("site").alias("site")).select("h1", "h2", "site"), "line-sites"), min_sites)
+    wide = written(_spread(written(among.select("h1", "h2", "site").distinct(), "line-sites"), min_sites), "wide")
+    # copies matter among the documents with such lines only
+    named = _lines(sited, text_col, F.col(id_col).cast("long").alias("doc_id"), site).select("doc_id", "site", "h1", "h2")
+    held = written(named.join(small_or_shuffled(wide, BROADCAST_LINES), ["h1", "h2"], "left_semi").distinct(), "held")
+    holders = small_or_shuffled(written(held.select("doc_id").distinct(), "holders"), BROADCAST_IDS)
+    texts = sited.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(holders, "doc_id", "left_semi")
+    followers = small_or_shuffled(written(near_duplicates(texts).select("doc_id").distinct(), "followers"), BROADCAST_IDS)
+    return _spread(written(held.join(followers, "doc_id", "left_anti").select("h1", "h2", "site").distinct(), "line-sites"), min_sites)
+
+
+def _spread(sites: DataFrame, min_sites: int) -> DataFrame:
+    """(h1, h2) with at least ``min_sites`` different sites among (h1, h2, site)."""
     spread = sites.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_SIZE))).alias("n"))
     spread = written(spread.where(F.col("n") >= min_sites * (1 - BAND) - 1), "spread")
     near = F.col("n") <= min_sites * (1 + BAND) + 1
@@ -62,11 +84,11 @@ def boilerplate(df: DataFrame, *, min_sites: int = MIN_SITES, site_col: str = "s
 
 
 def drop_boilerplate(
-    df: DataFrame, *, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text"
+    df: DataFrame, *, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", copies: str = "context"
 ) -> DataFrame:
     """All columns of ``df``, texts without their boilerplate lines, and n_lines and n_removed (under clashing names
     the new columns win)."""
-    lines = written(boilerplate(df, min_sites=min_sites, site_col=site_col, text_col=text_col), "boilerplate")
+    lines = written(boilerplate(df, min_sites=min_sites, id_col=id_col, site_col=site_col, text_col=text_col, copies=copies), "boilerplate")
     ident, drop_col, parts_col = "_tidewright_id", "_tidewright_drop", "_tidewright_parts"
     each = _lines(df, text_col, F.col(id_col).alias(ident)).drop("context")
     drop = each.join(small_or_shuffled(lines, BROADCAST_LINES), ["h1", "h2"], "left_semi").groupBy(ident).agg(F.collect_set("at").alias(drop_col))
