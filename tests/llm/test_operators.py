@@ -244,6 +244,38 @@ def test_every_license_rule_passes_the_gate() -> None:
         assert any(stem in expression or stem in plain or stem in keyword for stem in licenses.STEMS), expression
 
 
+def shortest(parts: list) -> list[str]:
+    """Shortest matches of a parsed expression, one for each choice of alternatives."""
+    out = [""]
+    for op, value in parts:
+        match str(op):
+            case "LITERAL":
+                more = [chr(value)]
+            case "IN":
+                more = [chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+            case "BRANCH":
+                more = [x for part in value[1] for x in shortest(part)]
+            case "SUBPATTERN":
+                more = shortest(value[-1])
+            case _:
+                assert str(op) == "MAX_REPEAT", op
+                more = [""] if value[0] == 0 else [x * value[0] for x in shortest(value[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_license_alternative_holds_its_keyword(spark: SparkSession) -> None:
+    for label, keyword, expression, _, _ in licenses.rules():
+        for text in shortest(re._parser.parse(expression)):
+            assert re.fullmatch(expression, text) and keyword in text and any(stem in f"{text} " for stem in licenses.STEMS), (label, keyword, text)
+    texts = {
+        "Licensed under the ODbL 1.0": "odbl-1", "SSPL license": "sspl-1", "released under the PSF license": "python-2",
+        "under the terms; Open Software 3.0 license": "osl-3", "Open Software License 3.0 license": "osl-3", "Open Database License": "odbl-1",
+    }
+    got = rows_of(licenses.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[k]["labels"] for k in range(len(texts))] == list(texts.values())
+
+
 # --- 4
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Phrases that are always reported, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Licences: label, keyword that gates its rules, and expressions of its name over normalised words.
+#: Licences: label, keyword that gates its rules and stands in all that they match, and expressions of its name over normalised words.
 NAMES = (
     ("mit", "mit", r"mit"),
     ("mit", "expat", r"expat"),
@@ -65,7 +65,8 @@ NAMES = (
     ("artistic-2", "artistic", r"artistic(?: license)? (?:version |v )?2(?: 0)?"),
     ("artistic", "artistic", r"artistic"),
     ("perl", "perl", r"same terms as perl(?: itself)?"),
-    ("python-2", "python", r"python software foundation(?: license)?(?: version 2)?|psf"),
+    ("python-2", "python", r"python software foundation(?: license)?(?: version 2)?"),
+    ("python-2", "psf", r"psf"),
     ("php-3", "php", r"php(?: license)? (?:version |v )?3(?: 0[01])?"),
     ("ruby", "ruby", r"ruby"),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice and)?"),
@@ -79,12 +80,14 @@ NAMES = (
     ("postgresql", "postgresql", r"postgresql"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
     ("afl-3", "academic free", r"academic free(?: license)?(?: (?:version |v )?3(?: 0)?)?"),
-    ("osl-3", "open software license", r"open software(?: license)?(?: (?:version |v )?3(?: 0)?)?"),
-    ("odbl-1", "open database", r"open database(?: license)?(?: 1 0)?|odbl(?: 1 0)?"),
+    ("osl-3", "open software", r"open software(?: license)?(?: (?:version |v )?3(?: 0)?)?"),
+    ("odbl-1", "open database", r"open database(?: license)?(?: 1 0)?"),
+    ("odbl-1", "odbl", r"odbl(?: 1 0)?"),
     ("odc-by-1", "open data commons", r"open data commons attribution"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation"),
     ("vim", "vim", r"vim"),
-    ("sspl-1", "server side public", r"server side public|sspl(?: 1(?: 0)?)?"),
+    ("sspl-1", "server side public", r"server side public"),
+    ("sspl-1", "sspl", r"sspl(?: 1(?: 0)?)?"),
     ("busl-1.1", "business source", r"business source(?: license)?(?: 1 1)?"),
     ("elastic-2", "elastic", r"elastic(?: license)? (?:version |v )?2(?: 0)?"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
