@@ -218,6 +218,28 @@ def test_subsequence_kernel_is_exact() -> None:
         assert np.isclose(norms[n], np.sqrt(np.sum(np.square(want))) or 1.0)
 
 
+@pytest.fixture(scope="module")
+def insulted() -> list[tuple[str, int]]:
+    own = random.Random(8)
+    some = lambda n: " ".join(own.choice(WORDS) for _ in range(n))
+    rows = [(f"{some(12)}. {some(10)}.", 0) for _ in range(120)]
+    return rows + [(f"{some(8)} {own.choice(['blockhead', 'numbskull', 'dimwit'])} {some(3)} {own.choice(['blockhead', 'numbskull', 'dimwit'])}. {some(9)}.", 1) for _ in range(60)]
+
+
+def test_toxicity_reads_the_whole_of_long_runs(insulted: list[tuple[str, int]]) -> None:
+    score = toxicity.Scorer(toxicity.fit(insulted)).scores
+    around = "harbour", "stone", "wind", "tide", "ring"
+    for sign in ",/|-_":
+        run = sign.join([*around, "blockhead", "numbskull", *around])
+        assert len(run) > toxicity.LONGEST and score([run])[0] > 0.5 > score([sign.join([*around, *around, *around])])[0], sign
+    assert score(["harbour" * 6 + "blockhead" + "stone" * 6])[0] > 0.5 > score(["harbour" * 6 + "stone" * 9])[0]
+    # no spaces, other full stops
+    plain = "今天天气很好我们去海边看船和灯塔然后回家吃饭看书睡觉"
+    rows = [(f"{plain[k % 9:]}，{plain}。{plain[::-1]}。", 0) for k in range(60)] + [(f"{plain[k % 9:]}，大笨蛋王八，{plain}。", 1) for k in range(40)]
+    score = toxicity.Scorer(toxicity.fit(rows)).scores
+    assert score([f"{plain}{plain}，大笨蛋王八，{plain}{plain}。"])[0] > 0.5 > score([f"{plain}{plain}，{plain}{plain}。"])[0]
+
+
 # --- 3
 
 

@@ -40,33 +40,68 @@ TIED = 1.5
 PRIOR = 0.3
 #: Distinct tokens whose margins a worker remembers; then it starts anew.
 REMEMBERED = 250_000
-LONGEST = 40
+#: Characters of a token; longer runs are read in pieces of these sizes at every place.
+LONGEST, PIECES = 40, (4, 6, 9, 12)
+#: Characters of tokens that may be letters of a gapped word.
+SHORT = 3
 #: Stand before and after a token and count as characters, so that where a word starts and ends matters.
 START, END = "<", ">"
-_SENTENCE = re.compile(r"[.!?]+[\s]+|\n+")
+_SENTENCE = re.compile(r"[.!?]+[\s]+|[。！？｡]+\s*|\n+")
+_PART = re.compile(r"[^\W_]+")
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _WEIGHTS = DECAY ** np.arange(1, SPAN + 1)
 
 
 def token(raw: str) -> str:
-    """Lower-cased, without what is no letter or digit at its ends, and cut to ``LONGEST`` characters from either end."""
+    """Lower-cased, without what is no letter or digit at its ends."""
     word = raw.lower()
     a, b = 0, len(word)
     while a < b and not word[a].isalnum():
         a += 1
     while b > a and not word[b - 1].isalnum():
         b -= 1
-    return word[a:b] if b - a <= LONGEST else word[a : a + LONGEST // 2] + word[b - LONGEST // 2 : b]
+    return word[a:b]
+
+
+def clauses(word: str) -> list[list[str]]:
+    """Pieces to score of a token over ``LONGEST`` characters, by run of letters and digits: the run itself, or
+    overlapping pieces of a long one. Runs of few characters between signs also stand joined."""
+    parts = _PART.findall(word)
+    out = []
+    for part in [*parts, *_joined(parts)]:
+        out.append([part] if len(part) <= PIECES[-1] else _pieces(part))
+    return out
+
+
+def _pieces(run: str) -> list[str]:
+    """All pieces of a run of the sizes ``PIECES``."""
+    return list(dict.fromkeys(run[k : k + size] for size in PIECES for k in range(max(1, len(run) - size + 1))))
+
+
+def _joined(words: list[str]) -> list[str]:
+    """Runs of at least two neighbouring words of up to ``SHORT`` characters, joined; also those of single characters
+    alone."""
+    out = []
+    for size in {1, SHORT}:
+        run: list[str] = []
+        for w in [*words, " " * (SHORT + 1)]:
+            if len(w) <= size:
+                run.append(w)
+                continue
+            if len(run) > 1:
+                out.append("".join(run))
+            run = []
+    return list(dict.fromkeys(out))
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Tokens of each sentence; sentences without tokens are left out."""
+    """Tokens of each sentence, long ones in pieces; sentences without tokens are left out."""
     out = []
     for part in _SENTENCE.split(text or ""):
         words = [w for w in map(token, part.split()) if w]
         if words:
-            out.append(words)
-    return out
+            out.append([x for w in words for x in ([w] if len(w) <= LONGEST else [p for c in clauses(w) for p in c])])
+    return [words for words in out if words]
 
 
 def subsequences(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,28 +207,85 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
+        #: token, its end and its beginning, as they meet in a pair, by word
+        self.bare: dict[str, tuple[str, str, str]] = {}
+        marked = [f"{START}{w}{END}" for w in model.landmarks.words]
+        self.triples = {w[k : k + 3] for w in marked for k in range(len(w) - 2)}
+
+    def _learn(self, raw: set[str]) -> None:
+        """Remember the margins of tokens."""
+        fresh = list(raw)
+        for k in range(0, len(fresh), 5000):
+            part = fresh[k : k + 5000]
+            forms = list(map(token, part))
+            long = {n: clauses(w) for n, w in enumerate(forms) if len(w) > LONGEST}
+            short = ["" if n in long else w for n, w in enumerate(forms)]
+            # gaps of other signs inside a token may also be left out
+            plain = ["".join(filter(str.isalnum, w)) for w in short]
+            value = self.model.margins(short)
+            odd = [n for n, (a, b) in enumerate(zip(short, plain, strict=True)) if a != b]
+            if odd:
+                value[odd] = np.maximum(value[odd], self.model.margins([plain[n] for n in odd]))
+            pieces = list({x for runs in long.values() for run in runs for x in run})
+            worth: dict[str, float] = {}
+            for at in range(0, len(pieces), 5000):
+                some = pieces[at : at + 5000]
+                worth.update(zip(some, self.model.margins(some).tolist(), strict=True))
+            # of overlapping pieces the strongest, so that what two of them hold counts once
+            for n, runs in long.items():
+                value[n] = sum(max(worth[x] for x in run) for run in runs)
+            self.known.update(zip(part, value.tolist(), strict=True))
 
     def margins(self, texts: list[str | None]) -> list[list[float]]:
         """Margins of each text's sentences."""
         raw = [[p.split() for p in _SENTENCE.split(t)] if t else [] for t in texts]
-        new = {w for sentence in raw for words in sentence for w in words if w not in self.known}
+        if len(self.bare) > REMEMBERED:
+            self.bare.clear()
+        for x in {w for part in raw for words in part for w in words if w not in self.bare}:
+            w = token(x)
+            self.bare[x] = w, f"{START}{w}"[-2:], f"{w}{END}"[:2]
+        pairs = [[self._across(words) for words in part] for part in raw]
+        wanted = {w for part in raw for words in part for w in words}
+        wanted.update(x for part in pairs for forms in part for x, _ in forms)
+        new = {w for w in wanted if w not in self.known}
         if new:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-                new = {w for sentence in raw for words in sentence for w in words}
-            fresh = list(new)
-            for k in range(0, len(fresh), 5000):
-                part = fresh[k : k + 5000]
-                # gaps of other signs inside a token may also be left out
-                forms = list(map(token, part))
-                plain = ["".join(filter(str.isalnum, w)) for w in forms]
-                value = self.model.margins(forms)
-                odd = [n for n, (a, b) in enumerate(zip(forms, plain, strict=True)) if a != b]
-                if odd:
-                    value[odd] = np.maximum(value[odd], self.model.margins([plain[n] for n in odd]))
-                self.known.update(zip(part, value.tolist(), strict=True))
+                new = wanted
+            self._learn(new)
         get, bias = self.known.__getitem__, self.model.bias
-        return [[sum(map(get, words)) + bias for words in part if words] for part in raw]
+        out = []
+        for part, across in zip(raw, pairs, strict=True):
+            found = []
+            for words, forms in zip(part, across, strict=True):
+                if not words:
+                    continue
+                # a joined form adds what it is worth beyond its tokens
+                more = max((get(x) - sum(max(0.0, get(w)) for w in of) for x, of in forms), default=0.0)
+                found.append(sum(map(get, words)) + max(0.0, more) + bias)
+            out.append(found)
+        return out
+
+    def _across(self, words: list[str]) -> list[tuple[str, list[str]]]:
+        """Joined forms across spaces: (form, its words), of all runs of single characters, of the runs of short tokens
+        half of whose neighbouring threes of characters stand in landmarks, and of the adjacent pairs both of whose
+        threes across the space do."""
+        bare = [self.bare[w] for w in words]
+        out, triples = [], self.triples
+        for size in (1, SHORT):
+            run: list[int] = []
+            for n in [n for n, x in enumerate(bare) if len(x[0]) <= size] + [len(words) + 1]:
+                if run and n != run[-1] + 1:
+                    if len(run) > 1:
+                        joined, of = "".join(bare[k][0] for k in run), [words[k] for k in run]
+                        forms = [joined] if len(joined) <= PIECES[-1] else _pieces(joined)
+                        out += [(x, of) for x in forms if x and (size == 1 or 2 * sum(x[k : k + 3] in triples for k in range(len(x) - 2)) >= max(1, len(x) - 2))]
+                    run = []
+                run.append(n)
+        for n, ((a, end, _), (b, _, begin)) in enumerate(zip(bare, bare[1:], strict=False)):
+            if a and b and end + begin[0] in triples and end[-1] + begin in triples and len(a) + len(b) <= LONGEST:
+                out.append((a + b, words[n : n + 2]))
+        return out
 
     def scores(self, texts: list[str | None]) -> list[float]:
         return [self.model.score(m) for m in self.margins(texts)]
