@@ -240,6 +240,13 @@ def test_toxicity_reads_the_whole_of_long_runs(insulted: list[tuple[str, int]])
     assert score([f"{plain}{plain}，大笨蛋王八，{plain}{plain}。"])[0] > 0.5 > score([f"{plain}{plain}，{plain}{plain}。"])[0]
 
 
+def test_toxicity_joins_spaced_words(insulted: list[tuple[str, int]]) -> None:
+    score = toxicity.Scorer(toxicity.fit(insulted)).scores
+    for text in ("what b l o c k h e a d", "such a b l o c k h e a d of the wind", "a num bsk ull", "the block head", "n u m b s k u l l"):
+        assert score([text])[0] > 0.5, text
+    assert max(score(["the tide of a w i n d", "a b c d e f g h", "the ring of the tide of the sea"])) < 0.5
+
+
 # --- 3
 
 
