@@ -329,11 +329,12 @@ def evidence(margins: list[float]) -> tuple[float, float]:
     return min(4.0, max(-2.0, max(margins))), math.log1p(sum(m + 1 for m in margins if m > -1))
 
 
-def _bag(parts: list[list[str]], y: int, near: dict[str, np.ndarray], odds: dict[str, float], width: int) -> np.ndarray:
-    """Features of a document's sentences: all of a toxic one, of a clean one the hottest and some others."""
+def _bag(parts: list[list[str]], y: int, near: dict[str, np.ndarray], odds: dict[str, float], width: int, clean_sentences: int = 8) -> np.ndarray:
+    """Features of a document's sentences: all of a toxic one, of a clean one ``clean_sentences`` at most, half the hottest and half others."""
+    half = clean_sentences // 2
     heat = [sum(max(0.0, odds.get(w, 0.0)) for w in words if w in near) for words in parts]
     order = sorted(range(len(parts)), key=lambda k: -heat[k])
-    chosen = order if y > 0 else order[:4] + order[4 :: max(1, len(order) // 4)][:4]
+    chosen = order if y > 0 else order[:half] + order[half :: max(1, len(order) // max(1, half))][:half]
     out = np.zeros((max(1, len(chosen)), width))
     for row, k in zip(out, chosen, strict=False):
         for w in parts[k]:
@@ -351,8 +352,8 @@ def _gapped(word: str) -> str:
     return word[:at] + (word[at - 1] if n & 1024 else "x") + word[at:]
 
 
-def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int = CLEAN_LANDMARKS) -> Model | None:
-    """Train on (text, label) rows."""
+def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int = CLEAN_LANDMARKS, clean_sentences: int = 8) -> Model | None:
+    """Train on (text, label) rows, with all sentences of toxic documents and ``clean_sentences`` at most of a clean one."""
     shared: dict[str, str] = {}  # one object a token, however often it stands
     docs = [([[shared.setdefault(w, w) for w in words] for words in sentences(t)], 1 if y else -1) for t, y in rows]
     n_toxic, n_clean = sum(y > 0 for _, y in docs), sum(y < 0 for _, y in docs)
@@ -380,7 +381,7 @@ def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int =
         for n in range(0, len(vocabulary), 5000):
             number, found = marks.near(vocabulary[n : n + 5000])
             near.update(zip([vocabulary[n + x] for x in number.tolist()], found.astype(np.float32), strict=True))
-        bags += [(_bag(parts, y, near, odds, len(marks.words)) @ marks.whiten, y) for parts, y in part]
+        bags += [(_bag(parts, y, near, odds, len(marks.words), clean_sentences) @ marks.whiten, y) for parts, y in part]
     strongest = [0] * len(bags)
     for _ in range(4):
         x = np.concatenate([b[[s]] if y > 0 else b for (b, y), s in zip(bags, strongest, strict=True)])
