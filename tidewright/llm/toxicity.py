@@ -9,8 +9,10 @@ labels stand on documents, the sentences of a toxic document are a bag of which
 and the choice is repeated with the fitted machine. A document's score is a logistic function of its strongest sentence
 and of all its suspect sentences together.
 
-Training is bounded by ``train_docs`` labelled documents in the order of a hash of the id; scoring reads whole texts.
-The machine is linear in the tokens, so a worker computes the margin of each distinct token once.
+Training is bounded by ``train_docs`` labelled documents and ``train_bytes`` of their texts, in the order of a hash of the
+id, and uses all their sentences; scoring reads whole texts. Token counts and sentence features are made where the
+texts are; the driver solves for some hundred weights. The machine is linear in the tokens, so a worker computes the
+margin of each distinct token once.
 
 Defined results: null and empty texts have no sentence and score as an empty one; without labels of both kinds every
 score is 0; equal texts have equal scores.
@@ -22,6 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import fold, map_batches, restored, single_thread, with_rest
+from tidewright.llm.common import arrow_map, fold, map_batches, restored, single_thread, with_rest, written
 
 DECAY, SPAN, NEAR, POWER = 0.7, 6, 0.4, 2
 #: Landmarks of each kind.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 8
-#: Log odds from which a token counts as tied to the toxic label.
-TIED = 1.5
+#: Log odds from which a token counts as tied to the toxic label, in how many toxic documents it must stand, and what
+#: share of them it must explain beyond chance (rarer ones are mostly words of one text that has copies).
+TIED, LEAST, SHARE = 1.5, 3, 0.01
+#: Tasks over the training documents.
+TASKS = 16
 #: Share of toxic documents that the scores are set for.
 PRIOR = 0.3
 #: Distinct tokens whose margins a worker remembers; then it starts anew.
@@ -48,13 +54,14 @@ SHORT = 3
 START, END = "<", ">"
 _SENTENCE = re.compile(r"[.!?]+[\s]+|[。！？｡]+\s*|\n+")
 _PART = re.compile(r"[^\W_]+")
-_OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _WEIGHTS = DECAY ** np.arange(1, SPAN + 1)
 
 
 def token(raw: str) -> str:
     """Lower-cased, without what is no letter or digit at its ends."""
     word = raw.lower()
+    if word.isalnum():
+        return word
     a, b = 0, len(word)
     while a < b and not word[a].isalnum():
         a += 1
@@ -104,33 +111,51 @@ def sentences(text: str | None) -> list[list[str]]:
     return [words for words in out if words]
 
 
-def subsequences(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token number, hashed subsequence, weight) without repeats, and each token's norm."""
+def _occurrences(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Every place of a subsequence as token number << 33 | hash << 3 | stretch - 1, and the tokens' lengths with marks."""
     sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 2
     marked = f"{START}{(END + START).join(tokens)}{END}" if tokens else ""
     codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     of = np.repeat(np.arange(len(tokens)), sizes)
     keys = []
-    for a, b in _OFFSETS:
+    for b in range(2, SPAN):
         n = len(codes) - b
         if n <= 0:
             continue
         inside = np.flatnonzero(of[:n] == of[b:])
-        h = (codes[inside] * np.uint64(0x9E3779B1) + codes[inside + a]) * np.uint64(0x85EBCA77) + codes[inside + b]
-        h = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(34)
-        keys.append(of[inside].astype(np.uint64) << np.uint64(33) | h << np.uint64(3) | np.uint64(b))
-    key = np.sort(np.concatenate(keys)) if keys else np.empty(0, dtype=np.uint64)
-    if not len(key):
-        empty = np.empty(0, dtype=np.int64)
-        return empty, empty, np.empty(0), np.ones(len(tokens))
+        first, last, number = codes[inside] * np.uint64(0x9E3779B1), codes[inside + b], of[inside].astype(np.uint64) << np.uint64(33) | np.uint64(b)
+        for a in range(1, b):
+            h = (first + codes[inside + a]) * np.uint64(0x85EBCA77) + last
+            h = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(34)
+            keys.append(number | h << np.uint64(3))
+    return np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64), sizes
+
+
+def _weighed(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token number, subsequence, weight) without repeats, of at least one place."""
+    key = np.sort(key)
     weight = _WEIGHTS[(key & np.uint64(7)).astype(np.int64)]
     key >>= np.uint64(3)
     heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     weight = np.add.reduceat(weight, heads)
     key = key[heads]
-    number = (key >> np.uint64(30)).astype(np.int64)
+    return (key >> np.uint64(30)).astype(np.int64), (key & np.uint64((1 << 30) - 1)).astype(np.int64), weight
+
+
+def subsequences(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token number, hashed subsequence, weight) without repeats, and each token's norm."""
+    key, _ = _occurrences(tokens)
+    if not len(key):
+        empty = np.empty(0, dtype=np.int64)
+        return empty, empty, np.empty(0), np.ones(len(tokens))
+    number, h, weight = _weighed(key)
     norms = np.sqrt(np.bincount(number, weight * weight, minlength=len(tokens)))
-    return number, (key & np.uint64((1 << 30) - 1)).astype(np.int64), weight, np.where(norms > 0, norms, 1.0)
+    return number, h, weight, np.where(norms > 0, norms, 1.0)
+
+
+def _least_norms(sizes: np.ndarray) -> np.ndarray:
+    """What the norm of a token is at least, by its length with marks: that of one whose subsequences all differ."""
+    return np.sqrt(sum((b - 1) * _WEIGHTS[b] ** 2 * np.maximum(0, sizes - b) for b in range(2, SPAN)))
 
 
 class Landmarks:
@@ -145,18 +170,28 @@ class Landmarks:
         self.first = np.searchsorted(column[order], np.arange(len(self.known) + 1))
         self.holder, self.share = number[order], (weight / norms[number])[order]
         self.most = np.maximum.reduceat(self.share, self.first[:-1]) if len(self.known) else np.empty(0)
-        self.maybe = np.zeros(1 << 20, dtype=bool)  # by the low bits of a subsequence's hash
-        self.maybe[self.known & 0xFFFFF] = True
+        self.table = np.zeros(1 << 20, dtype=np.float32)  # the same by the low bits of a subsequence's hash
+        np.maximum.at(self.table, self.known & 0xFFFFF, np.nextafter(self.most.astype(np.float32), np.float32(2)))
         own = self.near(words)[1]
         roots, vectors = np.linalg.eigh((own + own.T) / 2)
         good = roots > 1e-4
         self.whiten = vectors[:, good] / np.sqrt(roots[good])
+        self.width = len(words)
 
     def near(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the tokens that are near some landmark, their rows of similarities)."""
+        # most tokens go by the sum of what each of their subsequences could add to the landmark that holds most of it
+        key, sizes = _occurrences(tokens)
+        most = self.table[((key >> np.uint64(3)) & np.uint64(0xFFFFF)).astype(np.int64)]
+        some = np.flatnonzero(most)
+        key = key[some]
+        bound = np.bincount((key >> np.uint64(33)).astype(np.int64), most[some] * _WEIGHTS[(key & np.uint64(7)).astype(np.int64)], minlength=len(tokens))
+        possible = np.flatnonzero((bound >= NEAR * (1 - 1e-5) * _least_norms(sizes)) & (bound > 0))
+        number, rows = self._near([tokens[k] for k in possible.tolist()])
+        return possible[number], rows
+
+    def _near(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number, h, weight, norms = subsequences(tokens)
-        likely = np.flatnonzero(self.maybe[h & 0xFFFFF])
-        number, h, weight = number[likely], h[likely], weight[likely]
         at = np.searchsorted(self.known, h)
         at[at == len(self.known)] = 0
         hit = self.known[at] == h if len(self.known) else np.zeros(0, dtype=bool)
@@ -202,26 +237,56 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
+def _three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A hash of 20 bits of three characters."""
+    h = ((a * np.uint32(0x9E3779B1) + b) * np.uint32(0x85EBCA77) + c) * np.uint32(0xC2B2AE3D)
+    return (h >> np.uint32(12)).astype(np.int64)
+
+
 class Scorer:
-    """Scores texts with remembered token margins."""
+    """Scores texts with remembered token margins.
+
+    A batch's tokens are numbered once; sums over sentences and the search for words that belong together across spaces
+    run over arrays of these numbers.
+    """
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
-        #: token, its end and its beginning, as they meet in a pair, by word
-        self.bare: dict[str, tuple[str, str, str]] = {}
+        self.model = model
         marked = [f"{START}{w}{END}" for w in model.landmarks.words]
         self.triples = {w[k : k + 3] for w in marked for k in range(len(w) - 2)}
-
-    def _learn(self, raw: set[str]) -> None:
-        """Remember the margins of tokens."""
-        fresh = list(raw)
-        for k in range(0, len(fresh), 5000):
-            part = fresh[k : k + 5000]
-            forms = list(map(token, part))
-            long = {n: clauses(w) for n, w in enumerate(forms) if len(w) > LONGEST}
-            short = ["" if n in long else w for n, w in enumerate(forms)]
+        #: numbers of the first two and the last two characters that some landmark's threes begin or end with
+        self.heads = {x: n for n, x in enumerate(sorted({t[1:] for t in self.triples}), 1)}
+        self.tails = {x: n for n, x in enumerate(sorted({t[:2] for t in self.triples}), 1)}
+        self.firsts = {x: n for n, x in enumerate(sorted({t[2] for t in self.triples}), 1)}
+        self.lasts = {x: n for n, x in enumerate(sorted({t[0] for t in self.triples}), 1)}
+        #: by (tail of the one word, first character of the next) and (last character, head): whether a landmark holds it
+        self.over = np.zeros((len(self.tails) + 1, len(self.firsts) + 1), dtype=bool)
+        self.under = np.zeros((len(self.lasts) + 1, len(self.heads) + 1), dtype=bool)
+        for t in self.triples:
+            self.over[self.tails[t[:2]], self.firsts[t[2]]] = True
+            self.under[self.lasts[t[0]], self.heads[t[1:]]] = True
+        self.threes = np.zeros(1 << 20, dtype=np.int32)
+        for t in self.triples:
+            self.threes[_three(*(np.array([ord(c)], dtype=np.uint32) for c in t))] = 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.words: list[str] = []  # by number, without signs at the ends
+        self.value = np.zeros(0)
+        self.traits = np.zeros((0, 7), dtype=np.int32)  # length, tail, first, last, head, and threes of characters in landmarks
+        self.spans: dict[tuple[int, ...], float] = {}  # what joined tokens add beyond their own, by kind and numbers
+        self.joined: dict[str, float] = {}
+
+    def _worth(self, forms: list[str]) -> np.ndarray:
+        """Margins of tokens; those over ``LONGEST`` characters by their pieces."""
+        out = np.empty(len(forms))
+        for k in range(0, len(forms), 5000):
+            part = forms[k : k + 5000]
+            long = {n: clauses(w) for n, w in enumerate(part) if len(w) > LONGEST}
+            short = ["" if n in long else w for n, w in enumerate(part)]
             # gaps of other signs inside a token may also be left out
-            plain = ["".join(filter(str.isalnum, w)) for w in short]
+            plain = [w if w.isalnum() else "".join(filter(str.isalnum, w)) for w in short]
             value = self.model.margins(short)
             odd = [n for n, (a, b) in enumerate(zip(short, plain, strict=True)) if a != b]
             if odd:
@@ -234,58 +299,110 @@ class Scorer:
             # of overlapping pieces the strongest, so that what two of them hold counts once
             for n, runs in long.items():
                 value[n] = sum(max(worth[x] for x in run) for run in runs)
-            self.known.update(zip(part, value.tolist(), strict=True))
+            out[k : k + 5000] = value
+        return out
+
+    def _learn(self, raw: list[str]) -> None:
+        """Number tokens and remember their margins and what they meet their neighbours with."""
+        forms = list(map(token, raw))
+        at = len(self.words)
+        self.number.update(zip(raw, range(at, at + len(raw)), strict=True))
+        self.words += forms
+        self.value = np.concatenate((self.value, self._worth(forms)))
+        tail, first, last, head = self.tails.get, self.firsts.get, self.lasts.get, self.heads.get
+        traits = [(len(w), tail((START + w)[-2:], 0), first(w[:1], 0), last(w[-1:], 0), head((w + END)[:2], 0)) if w else (0, 0, 0, 0, 0) for w in forms]
+        inside = self._inside(forms)
+        self.traits = np.concatenate((self.traits, np.hstack((np.array(traits, dtype=np.int32).reshape(-1, 5), inside))))
+
+    def _inside(self, forms: list[str]) -> np.ndarray:
+        """How many threes of characters of a token after ``START``, and of one before ``END``, stand in landmarks (by a
+        hash of the threes)."""
+        n = np.fromiter(map(len, forms), dtype=np.int64, count=len(forms)) + 2
+        codes = np.frombuffer(f"{START}{(END + START).join(forms)}{END}".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        held = np.zeros(len(codes), dtype=np.int32)
+        held[:-2] = self.threes[_three(codes[:-2], codes[1:-1], codes[2:])]
+        ends = np.cumsum(n)
+        total = np.concatenate(([0], np.cumsum(held)))
+        starts = ends - n
+        long = n > 2
+        whole = np.where(long, total[np.maximum(ends - 2, starts)] - total[starts], 0)
+        return np.stack((whole - np.where(long, held[np.maximum(ends - 3, 0)], 0), whole - np.where(long, held[starts], 0)), axis=1).astype(np.int32)
+
+    def _numbers(self, flat: list[str]) -> np.ndarray:
+        new = set(flat) - self.number.keys()
+        if new:
+            self._learn(list(new))
+        return np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
 
     def margins(self, texts: list[str | None]) -> list[list[float]]:
         """Margins of each text's sentences."""
-        raw = [[p.split() for p in _SENTENCE.split(t)] if t else [] for t in texts]
-        if len(self.bare) > REMEMBERED:
-            self.bare.clear()
-        for x in {w for part in raw for words in part for w in words if w not in self.bare}:
-            w = token(x)
-            self.bare[x] = w, f"{START}{w}"[-2:], f"{w}{END}"[:2]
-        pairs = [[self._across(words) for words in part] for part in raw]
-        wanted = {w for part in raw for words in part for w in words}
-        wanted.update(x for part in pairs for forms in part for x, _ in forms)
-        new = {w for w in wanted if w not in self.known}
+        if len(self.words) + len(self.spans) > REMEMBERED:
+            self._forget()
+        flat: list[str] = []
+        sizes: list[int] = []  # tokens of each sentence
+        counts = []  # sentences of each text
+        for text in texts:
+            n = len(sizes)
+            for part in _SENTENCE.split(text) if text else ():
+                words = part.split()
+                if words:
+                    flat += words
+                    sizes.append(len(words))
+            counts.append(len(sizes) - n)
+        if not sizes:
+            return [[] for _ in texts]
+        ids = self._numbers(flat)
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        sums = np.add.reduceat(self.value[ids], starts) + self.model.bias
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        more = self._across(ids, of)
+        for sentence, gain in more.items():
+            sums[sentence] += gain
+        ends = np.cumsum(counts)
+        return [sums[a:b].tolist() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+
+    def _across(self, ids: np.ndarray, of: np.ndarray) -> dict[int, float]:
+        """By sentence, the most that a form joined across spaces adds beyond its tokens: runs of single characters,
+        runs of short tokens and adjacent pairs, half of whose neighbouring threes of characters stand in landmarks (of
+        a pair both across the space, too)."""
+        length, tail, first, last, head, left, right = self.traits[ids].T
+        near = of[1:] == of[:-1]
+        pair = near & (length[:-1] > 0) & (length[1:] > 0) & self.over[tail[:-1], first[1:]] & self.under[last[:-1], head[1:]]
+        both = length[:-1] + length[1:]
+        pair &= (both <= LONGEST) & (2 * (left[:-1] + right[1:] + 2) >= both)
+        places = [(k, k + 2, 0) for k in np.flatnonzero(pair).tolist()]
+        for size in (1, SHORT):
+            few = length <= size
+            together = np.concatenate(([False], near & few[1:] & few[:-1], [False])).astype(np.int8)
+            begin, end = np.flatnonzero(np.diff(together) == 1).tolist(), (np.flatnonzero(np.diff(together) == -1) + 1).tolist()
+            places += [(a, b, size) for a, b in zip(begin, end, strict=True)]
+        if not places:
+            return {}
+        numbers = ids.tolist()
+        keys = [(size, *numbers[a:b]) for a, b, size in places]
+        new = set(keys) - self.spans.keys()
         if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = wanted
-            self._learn(new)
-        get, bias = self.known.__getitem__, self.model.bias
-        out = []
-        for part, across in zip(raw, pairs, strict=True):
-            found = []
-            for words, forms in zip(part, across, strict=True):
-                if not words:
-                    continue
-                # a joined form adds what it is worth beyond its tokens
-                more = max((get(x) - sum(max(0.0, get(w)) for w in of) for x, of in forms), default=0.0)
-                found.append(sum(map(get, words)) + max(0.0, more) + bias)
-            out.append(found)
+            forms = {key: self._forms("".join([self.words[n] for n in key[1:]]), key[0]) for key in new}
+            wanted = list({x for some in forms.values() for x in some} - self.joined.keys())
+            self.joined.update(zip(wanted, self._worth(wanted).tolist(), strict=True))
+            for key, some in forms.items():
+                own = sum(max(0.0, self.value[n]) for n in key[1:]) if some else 0.0
+                self.spans[key] = max([0.0, *(self.joined[x] - own for x in some)])
+        out: dict[int, float] = {}
+        for gain, (a, _, _) in zip(map(self.spans.__getitem__, keys), places, strict=True):
+            if gain:
+                sentence = int(of[a])
+                out[sentence] = max(gain, out.get(sentence, 0.0))
         return out
 
-    def _across(self, words: list[str]) -> list[tuple[str, list[str]]]:
-        """Joined forms across spaces: (form, its words), of all runs of single characters, of the runs of short tokens
-        half of whose neighbouring threes of characters stand in landmarks, and of the adjacent pairs both of whose
-        threes across the space do."""
-        bare = [self.bare[w] for w in words]
-        out, triples = [], self.triples
-        for size in (1, SHORT):
-            run: list[int] = []
-            for n in [n for n, x in enumerate(bare) if len(x[0]) <= size] + [len(words) + 1]:
-                if run and n != run[-1] + 1:
-                    if len(run) > 1:
-                        joined, of = "".join(bare[k][0] for k in run), [words[k] for k in run]
-                        forms = [joined] if len(joined) <= PIECES[-1] else _pieces(joined)
-                        out += [(x, of) for x in forms if x and (size == 1 or 2 * sum(x[k : k + 3] in triples for k in range(len(x) - 2)) >= max(1, len(x) - 2))]
-                    run = []
-                run.append(n)
-        for n, ((a, end, _), (b, _, begin)) in enumerate(zip(bare, bare[1:], strict=False)):
-            if a and b and end + begin[0] in triples and end[-1] + begin in triples and len(a) + len(b) <= LONGEST:
-                out.append((a + b, words[n : n + 2]))
-        return out
+    def _forms(self, joined: str, size: int) -> list[str]:
+        """What a joined run may be read as; size 0 marks a pair of words."""
+        if not joined:
+            return []
+        if size == 0:
+            return [joined]
+        forms = [joined] if len(joined) <= PIECES[-1] else _pieces(joined)
+        return [x for x in forms if size == 1 or 2 * sum(x[k : k + 3] in self.triples for k in range(len(x) - 2)) >= max(1, len(x) - 2)]
 
     def scores(self, texts: list[str | None]) -> list[float]:
         return [self.model.score(m) for m in self.margins(texts)]
@@ -294,17 +411,65 @@ class Scorer:
 # --- training -------------------------------------------------------------------------------------------------------
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps on the active set."""
-    ones = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(ones.shape[1])
+class Bags:
+    """Sentences as sparse rows of landmark similarities: toxic documents keep theirs apart, those of clean documents
+    are counted by value. Sentences near no landmark are rows without entries."""
+
+    def __init__(self, width: int) -> None:
+        self.width = width
+        self.toxic: list[list[bytes]] = []
+        self.clean: Counter[bytes] = Counter()
+
+    def add(self, y: int, rows: list[bytes], counts: list[int]) -> None:
+        if y > 0:
+            self.toxic.append(rows or [b""])
+        else:
+            for row, n in zip(rows, counts, strict=True):
+                self.clean[row] += n
+
+
+#: A sparse row: landmark and similarity.
+_ENTRY = np.dtype([("i", "<u2"), ("v", "<f4")])
+
+
+class Rows:
+    """A sparse matrix; ``dense`` rows are made for few rows at a time."""
+
+    def __init__(self, rows: list[bytes], width: int) -> None:
+        self.width = width
+        raw = np.frombuffer(b"".join(rows), dtype=_ENTRY)
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) // _ENTRY.itemsize
+        self.row, self.i, self.v, self.n = np.repeat(np.arange(len(rows)), sizes), raw["i"].astype(np.int64), raw["v"].astype(float), len(rows)
+
+    def times(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.v * u[self.i], minlength=self.n)
+
+    def dense(self, chosen: np.ndarray, at: int, upto: int) -> np.ndarray:
+        """Rows number at:upto of those chosen (a mask)."""
+        numbers = np.flatnonzero(chosen)[at:upto]
+        place = np.full(self.n, -1)
+        place[numbers] = np.arange(len(numbers))
+        want = np.flatnonzero(place[self.row] >= 0)
+        out = np.zeros((len(numbers), self.width))
+        np.add.at(out, (place[self.row[want]], self.i[want]), self.v[want])
+        return out
+
+
+def _machine(x: Rows, whiten: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Linear machine over whitened rows with squared hinge loss, by Newton steps on the active set."""
+    w = np.zeros(whiten.shape[1] + 1)
     keep = ridge * np.eye(len(w))
     keep[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (ones @ w) < 1
-        a, c = ones[active], cost[active]
-        new = np.linalg.solve(a.T @ (a * c[:, None]) + keep, a.T @ (c * y[active]))
-        step = new - w
+        active = y * (x.times(whiten @ w[:-1]) + w[-1]) < 1
+        left, right = keep.copy(), np.zeros(len(w))
+        for at in range(0, int(active.sum()), 8192):
+            a = x.dense(active, at, at + 8192) @ whiten
+            a = np.hstack((a, np.ones((len(a), 1))))
+            c, t = cost[active][at : at + 8192], y[active][at : at + 8192]
+            left += a.T @ (a * c[:, None])
+            right += a.T @ (c * t)
+        step = np.linalg.solve(left, right) - w
         w = w + step * (1.0 if np.abs(step).max() < 1 else 0.7)
         if np.abs(step).max() < 1e-6:
             break
@@ -329,20 +494,6 @@ def evidence(margins: list[float]) -> tuple[float, float]:
     return min(4.0, max(-2.0, max(margins))), math.log1p(sum(m + 1 for m in margins if m > -1))
 
 
-def _bag(parts: list[list[str]], y: int, near: dict[str, np.ndarray], odds: dict[str, float], width: int, clean_sentences: int = 8) -> np.ndarray:
-    """Features of a document's sentences: all of a toxic one, of a clean one ``clean_sentences`` at most, half the hottest and half others."""
-    half = clean_sentences // 2
-    heat = [sum(max(0.0, odds.get(w, 0.0)) for w in words if w in near) for words in parts]
-    order = sorted(range(len(parts)), key=lambda k: -heat[k])
-    chosen = order if y > 0 else order[:half] + order[half :: max(1, len(order) // max(1, half))][:half]
-    out = np.zeros((max(1, len(chosen)), width))
-    for row, k in zip(out, chosen, strict=False):
-        for w in parts[k]:
-            if w in near:
-                row += near[w]
-    return out
-
-
 def _gapped(word: str) -> str:
     """The word with one character more, a repeated or a foreign one, at a place that depends on the word."""
     if len(word) < 4:
@@ -352,61 +503,166 @@ def _gapped(word: str) -> str:
     return word[:at] + (word[at - 1] if n & 1024 else "x") + word[at:]
 
 
-def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int = CLEAN_LANDMARKS, clean_sentences: int = 8) -> Model | None:
-    """Train on (text, label) rows, with all sentences of toxic documents and ``clean_sentences`` at most of a clean one."""
-    shared: dict[str, str] = {}  # one object a token, however often it stands
-    docs = [([[shared.setdefault(w, w) for w in words] for words in sentences(t)], 1 if y else -1) for t, y in rows]
-    n_toxic, n_clean = sum(y > 0 for _, y in docs), sum(y < 0 for _, y in docs)
-    if not n_toxic or not n_clean:
-        return None
-    seen: dict[int, Counter[str]] = {1: Counter(), -1: Counter()}
+def token_counts(rows: list[tuple[str, int]]) -> tuple[Counter[str], Counter[str]]:
+    """In how many toxic and in how many clean documents each token stands."""
+    seen: dict[bool, Counter[str]] = {True: Counter(), False: Counter()}
+    for text, y in rows:
+        seen[y > 0].update({w for words in sentences(text) for w in words})
+    return seen[True], seen[False]
+
+
+def tie(in_toxic: int, in_clean: int, n_toxic: int, n_clean: int) -> tuple[float, float]:
+    """A token's log odds, and the share of the toxic documents that it explains beyond chance."""
+    odds = math.log((in_toxic + 0.5) / (n_toxic + 1) / ((in_clean + 0.5) / (n_clean + 1)))
+    return odds, in_toxic / n_toxic - in_clean / n_clean
+
+
+def bags_of(rows: list[tuple[str, int]], marks: Landmarks, tied: set[str]) -> list[tuple[int, list[bytes], list[int]]]:
+    """(label 1 or -1, different sparse rows of the sentences, how often each stands) by document. Toxic documents stand
+    once more with a character put into their tied tokens, so that the machine bears such forms."""
+    docs = [(sentences(t), 1 if y > 0 else -1) for t, y in rows]
+    docs += [([[_gapped(w) if w in tied else w for w in words] for words in parts], y) for parts, y in docs if y > 0]
+    vocabulary = sorted({w for parts, _ in docs for words in parts for w in words})
+    near: dict[str, np.ndarray] = {}
+    for n in range(0, len(vocabulary), 5000):
+        number, found = marks.near(vocabulary[n : n + 5000])
+        near.update(zip([vocabulary[n + x] for x in number.tolist()], found, strict=True))
+    out = []
     for parts, y in docs:
-        seen[y].update({w for words in parts for w in words})
-    odds = {w: math.log((k + 0.5) / (n_toxic + 1) / ((seen[-1][w] + 0.5) / (n_clean + 1))) for w, k in seen[1].items() if k >= 3}
-    # a token is tied to the label if its odds are several times those of chance
-    # tokens most tied to the label: by how many toxic documents they explain beyond chance
-    tied = sorted((w for w, x in odds.items() if x >= TIED), key=lambda w: (-(seen[1][w] / n_toxic - seen[-1][w] / n_clean) * max(0.0, odds[w]), w))[:toxic]
-    tied_set = set(tied)
-    frequent = sorted((w for w in seen[-1] if w not in tied_set and len(w) > 2), key=lambda w: (-seen[-1][w], w))
-    marks = Landmarks(tied + frequent[: 8 * clean : 8])
-
-    # toxic documents stand once more with a character put into their tied tokens, so that the machine bears such forms
-    gapped = [([[_gapped(w) if w in tied_set else w for w in words] for words in parts], y) for parts, y in docs if y > 0]
-    bags = []
-    every = docs + gapped
-    for k in range(0, len(every), 200):  # the similarities of one group's tokens at a time
-        part = every[k : k + 200]
-        vocabulary = list({w for parts, _ in part for words in parts for w in words})
-        near: dict[str, np.ndarray] = {}
-        for n in range(0, len(vocabulary), 5000):
-            number, found = marks.near(vocabulary[n : n + 5000])
-            near.update(zip([vocabulary[n + x] for x in number.tolist()], found.astype(np.float32), strict=True))
-        bags += [(_bag(parts, y, near, odds, len(marks.words), clean_sentences) @ marks.whiten, y) for parts, y in part]
-    strongest = [0] * len(bags)
+        seen: Counter[bytes] = Counter()
+        for words in parts:
+            close = [near[w] for w in words if w in near]
+            row = np.sum(close, axis=0) if close else np.zeros(0)
+            entries = np.empty(int(np.count_nonzero(row)), dtype=_ENTRY)
+            entries["i"] = np.flatnonzero(row)
+            entries["v"] = row[entries["i"]]
+            seen[entries.tobytes()] += 1
+        out.append((y, list(seen), list(seen.values())))
+    return out
+
+
+def solve(bags: Bags, marks: Landmarks) -> Model:
+    """The machine over all sentences: clean ones as they stand, of each toxic document the strongest, chosen again with
+    each fit."""
+    clean, counts = list(bags.clean), np.array(list(bags.clean.values()), dtype=float)
+    toxic = Rows([row for rows in bags.toxic for row in rows], marks.width)
+    ends = np.cumsum([len(rows) for rows in bags.toxic])
+    starts = np.concatenate(([0], ends[:-1]))
+    strongest = starts
+    every = [row for rows in bags.toxic for row in rows]
+    n = len(bags.toxic)
+    cost = np.concatenate((np.full(n, 0.5), n / 2 * counts / max(1.0, counts.sum())))
+    y = np.concatenate((np.ones(n), -np.ones(len(clean))))
     for _ in range(4):
-        x = np.concatenate([b[[s]] if y > 0 else b for (b, y), s in zip(bags, strongest, strict=True)])
-        y = np.concatenate([np.full(1 if y > 0 else len(b), y) for b, y in bags])
-        cost = np.where(y > 0, 1 / (2 * n_toxic), 1 / max(1, (y < 0).sum())) * n_toxic
-        w, bias = _machine(x, y, cost, ridge=0.05)
-        strongest = [int((b @ w).argmax()) for b, _ in bags]
-    model = Model(marks, marks.whiten @ w, bias, np.zeros(3))
+        x = Rows([every[k] for k in strongest.tolist()] + clean, marks.width)
+        w, bias = _machine(x, marks.whiten, y, cost, ridge=0.05)
+        margins = toxic.times(marks.whiten @ w)
+        strongest = np.array([a + int(margins[a:b].argmax()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return Model(marks, marks.whiten @ w, bias, np.zeros(3))
+
+
+def _landmarks(tied: list[str], frequent: list[str], clean: int) -> Landmarks:
+    return Landmarks(tied + frequent[: 8 * clean : 8])
+
+
+def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int = CLEAN_LANDMARKS) -> Model | None:
+    """Train on (text, label) rows in this process; :func:`train` does the same over a cluster."""
+    rows = [(t, 1 if y else -1) for t, y in rows]
+    n_toxic, n_clean = sum(y > 0 for _, y in rows), sum(y < 0 for _, y in rows)
+    if not n_toxic or not n_clean:
+        return None
+    in_toxic, in_clean = token_counts(rows)
+    ranked = {w: tie(k, in_clean[w], n_toxic, n_clean) for w, k in in_toxic.items() if k >= LEAST}
+    tied = sorted((w for w, (odds, share) in ranked.items() if odds >= TIED and share >= SHARE), key=lambda w: (-ranked[w][0] * ranked[w][1], w))[:toxic]
+    frequent = sorted((w for w in in_clean if w not in set(tied) and len(w) > 2), key=lambda w: (-in_clean[w], w))
+    marks = _landmarks(tied, frequent, clean)
+    bags = Bags(marks.width)
+    for bag in bags_of(rows, marks, set(tied)):
+        bags.add(*bag)
+    model = solve(bags, marks)
     scorer = Scorer(model)
-    margins = [m for k in range(0, len(rows), 200) for m in scorer.margins([t for t, _ in rows[k : k + 200]])]
-    model.curve = _sigmoid(np.array([evidence(m or [bias]) for m in margins]), np.array([y for _, y in docs]))
+    model.curve = _sigmoid(np.array([evidence(m or [model.bias]) for m in scorer.margins([t for t, _ in rows])]), np.array([y for _, y in rows]))
     return model
 
 
+def _sample(documents: DataFrame, labels: DataFrame, usable: Column, train_docs: int, train_bytes: int, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, int, int]:
+    """(text, y) of the labelled documents to learn from, written; and the numbers of toxic and clean ones."""
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(usable & F.col("y").isNotNull())
+    some = marked.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_docs)
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # of rows that repeat an id one is learnt from
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = written(one.select(F.xxhash64("doc_id").alias("h"), "y", "text").repartition(TASKS), "training")
+    total, last, numbers = 0, None, Counter()
+    for r in sorted(found.select("h", "y", F.octet_length("text").alias("n")).collect()):
+        if total and total + r["n"] > train_bytes:
+            break
+        total, last = total + r["n"], r["h"]
+        numbers[r["y"] != 0] += 1
+    kept = found.where(F.col("h") <= last) if last is not None else found.where("false")
+    return kept.select("text", F.when(F.col("y") != 0, 1).otherwise(-1).alias("y")), numbers[True], numbers[False]
+
+
+def _in_groups(rows: DataFrame, fn: Callable[[list[tuple[str, int]]], pa.RecordBatch], schema: str, group: int = 200) -> DataFrame:
+    """``fn`` over groups of (text, y) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single_thread()
+        for batch in batches:
+            for k in range(0, batch.num_rows, group):
+                part = batch.slice(k, group)
+                yield fn(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)))
+
+    return arrow_map(rows, run, schema)
+
+
 def train(
-    documents: DataFrame, labels: DataFrame, usable: Column, *, train_docs: int = 5000, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "toxic",
+    documents: DataFrame, labels: DataFrame, usable: Column, *, train_docs: int = 5000, train_bytes: int = 32 << 20, id_col: str = "doc_id",
+    text_col: str = "text", label_col: str = "toxic",
 ) -> Model | None:
-    """Fit on at most ``train_docs`` labelled rows for which ``usable`` (over the column ``doc_id``) holds."""
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(usable & F.col("y").isNotNull())
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").limit(2 * train_docs).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([(r["text"] or "", r["y"]) for r in rows])
+    """Fit on at most ``train_docs`` labelled rows for which ``usable`` (over the column ``doc_id``) holds, and at most
+    ``train_bytes`` of text, in the order of a hash of the id. Texts stay with the executors: the driver gets landmark
+    tokens, sparse sentence rows and two numbers a document."""
+    rows, n_toxic, n_clean = _sample(documents, labels, usable, train_docs, train_bytes, id_col, text_col, label_col)
+    if not n_toxic or not n_clean:
+        return None
+
+    def count(part: list[tuple[str, int]]) -> pa.RecordBatch:
+        a, b = token_counts(part)
+        words = sorted(a.keys() | b.keys())
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([a[w] for w in words], pa.int64()), pa.array([b[w] for w in words], pa.int64())], names=["w", "a", "b"])
+
+    counts = _in_groups(rows, count, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = written(counts, "tokens")
+    odds = F.log((F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1)))
+    share = F.col("a") / n_toxic - F.col("b") / n_clean
+    tied = [r["w"] for r in counts.where((F.col("a") >= LEAST) & (odds >= TIED) & (share >= SHARE)).orderBy((odds * share).desc(), "w").limit(TOXIC_LANDMARKS).collect()]
+    common = counts.where((F.char_length("w") > 2) & (F.col("b") > 0) & ~F.col("w").isin(tied)).orderBy(F.desc("b"), "w").limit(8 * CLEAN_LANDMARKS)
+    marks = _landmarks(tied, [r["w"] for r in common.collect()], CLEAN_LANDMARKS)
+    context = documents.sparkSession.sparkContext
+    shared = context.broadcast((marks, set(tied)))
+
+    def features(part: list[tuple[str, int]]) -> pa.RecordBatch:
+        got = bags_of(part, *shared.value)
+        columns = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays(columns, names=["y", "rows", "counts"])
+
+    bags = Bags(marks.width)
+    for r in _in_groups(rows, features, "y int, rows array<binary>, counts array<long>").toLocalIterator():
+        bags.add(r["y"], [bytes(x) for x in r["rows"]], r["counts"])
+    model = solve(bags, marks)
+    fitted = context.broadcast(model)
+
+    def strength(part: list[tuple[str, int]]) -> pa.RecordBatch:
+        own = Scorer(fitted.value)
+        both = [evidence(m or [own.model.bias]) for m in own.margins([t for t, _ in part])]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in both]), pa.array([x[1] for x in both]), pa.array([y for _, y in part], pa.int32())], names=["top", "all", "y"])
+
+    found = sorted(tuple(r) for r in _in_groups(rows, strength, "top double, all double, y int", 1000).collect())
+    model.curve = _sigmoid(np.array([r[:2] for r in found]), np.array([r[2] for r in found]))
+    shared.destroy()
+    fitted.destroy()
+    return model
 
 
 def score(df: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
