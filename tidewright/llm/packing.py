@@ -1,13 +1,15 @@
 """Sequence packing along a space-filling curve.
 
 A document's hashed byte-gram vector is projected to three dimensions; its Hilbert key puts similar documents near each
-other on a line. The corpus is range-partitioned and sorted by (key, doc_id), so equal keys of large groups of copies
-split across partitions too. Each partition then tokenises its documents in curve order and cuts one continuous stream
-into sequences of 1024 ids. What is left at a partition's end is cut into sequences whose lengths are powers of two,
-which need no padding at all.
-
-Defined results: null and empty texts are the single end id; repeated rows are packed as often as they stand; an empty
-table gives no pieces.
+other on a line. Keys are computed once and written with the texts. The curve is cut into ranges of about equal bytes, by
+the bytes of its cells; a cell that holds more than a range (a large group of copies) is dealt to several partitions by
+a hash of id and text. Each partition then tokenises its documents in curve order and cuts one continuous stream into
+sequences of 1024 ids. What is left at a partition's end is cut into sequences whose lengths are powers of two, which
+need no padding at all.
+
+Defined results: null and empty texts are the single end id; strings of special tokens in a text become these tokens'
+ids, as in the ``tokenizers`` library; repeated rows are packed as often as they stand; rows of one id but other texts
+are packed each for itself; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import BATCH_ROWS, arrow_map, as_bytes, keyed
+from tidewright.llm.common import BATCH_ROWS, arrow_map, as_bytes, keyed, written
 
 LENGTH, END = 1024, 0
 DIMENSIONS, DEPTH, BUCKETS = 3, 10, 4096
@@ -35,8 +37,8 @@ DIMENSIONS, DEPTH, BUCKETS = 3, 10, 4096
 class Tokens:
     """Ids of a byte-level BPE vocabulary file of the ``tokenizers`` library.
 
-    The merges run in tiktoken, which gives the same ids several times faster; a text that it refuses goes to
-    ``tokenizers`` itself. Strings of special tokens in a text are ordinary text.
+    The merges run in tiktoken, which gives the same ids several times faster; a text that it refuses, or that holds the
+    string of a special token, goes to ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,14 +51,17 @@ class Tokens:
 
         raw = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
         char = {chr(b): b for b in raw} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in raw)}
-        special = {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(char[c] for c in t): k for t, k in spec["model"]["vocab"].items() if t not in special}
+        added = {x["content"] for x in spec.get("added_tokens", [])}
+        self.special = sorted(added)
+        ranks = {bytes(char[c] for c in t): k for t, k in spec["model"]["vocab"].items() if t not in added}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = None
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=np.uint32)
+        if any(x in text for x in self.special):
+            return self.reference_ids(text)
         try:
             return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
         except Exception:  # noqa: BLE001  the regex engine's stack on odd texts
@@ -67,7 +72,6 @@ class Tokens:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -195,9 +199,34 @@ class Packer:
         return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
 
 
+#: Bytes of text that a partition is to hold, and bits of a key that a cell of the curve leaves out.
+PART_BYTES, CELL = 12 << 20, 16
+
+
+def _dealt(on_curve: DataFrame, part_bytes: int) -> DataFrame:
+    """The documents (doc_id, text, key) dealt to partitions along the curve, of about ``part_bytes`` each."""
+    spark = on_curve.sparkSession
+    cell = F.shiftright("key", CELL)
+    sizes = on_curve.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n"))
+    cells = sorted(sizes.collect())  # at most 1 << (DIMENSIONS * DEPTH - CELL)
+    rows, at, filled = [], 0, 0
+    for number, n in cells:
+        parts = max(1, -(-n // part_bytes))
+        if filled and filled + n > part_bytes:
+            at, filled = at + 1, 0
+        rows.append((number, at, parts))
+        at, filled = (at + parts, 0) if parts > 1 else (at, filled + n)
+    table = spark.createDataFrame(rows, "cell long, base int, parts int")
+    mark = F.xxhash64("doc_id", "text")
+    part = (F.col("base") + F.pmod(mark, F.col("parts").cast("long"))).cast("int")
+    placed = on_curve.withColumn("cell", cell).join(F.broadcast(table), "cell").withColumn("part", part)
+    dealt = placed.repartitionById(at + 1, "part")
+    return dealt.sortWithinPartitions("key", "doc_id", mark).select("doc_id", "text")
+
+
 def pack(
-    df: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH, keep_ids: bool = True, id_col: str = "doc_id",
-    text_col: str = "text",
+    df: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", length: int = LENGTH, keep_ids: bool = True, part_bytes: int = PART_BYTES,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if kept."""
 
@@ -222,8 +251,6 @@ def pack(
         packer.finish()
         yield packer.taken(keep_ids)
 
-    on_curve = arrow_map(keyed(df, id_col, text_col), key, "doc_id long, text string, key long")
-    # the text's hash parts the copies that a table of repeated ids may hold
-    sorted_docs = on_curve.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("text"))
+    on_curve = written(arrow_map(keyed(df, id_col, text_col), key, "doc_id long, text string, key long"), "curve")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return arrow_map(sorted_docs, cut, schema + (", ids array<int>" if keep_ids else ""))
+    return arrow_map(_dealt(on_curve, part_bytes), cut, schema + (", ids array<int>" if keep_ids else ""))
