@@ -5,7 +5,8 @@ suffix of what has been read that occurs in some item. Where that length reaches
 holds the whole of a shorter item, the words are hit. Documents never move: the only pass is a map over them.
 
 Defined results: null or empty texts have no words and no hits; items without words are ignored; repeated items all
-count; ids are kept as they are, repeated document rows give one result row each; an empty benchmark hits nothing.
+count; the words of an item without an id are hit like any other's, but it has no name to list; ids are kept as they are,
+repeated document rows give one result row each; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import ALNUM_LOWER, as_bytes, keyed, map_batches, restored, with_rest
+from tidewright.llm.common import ALNUM_LOWER, as_bytes, discard, keyed, map_batches, restored, with_rest, written
 
-#: Words of test items that one automaton may hold (some 100 bytes each on every executor). A larger benchmark goes
-#: through the documents in blocks of this size.
+#: Words of test items that one automaton may hold (some 100 bytes each on the driver and every executor). A larger
+#: benchmark goes through the documents block by block; what one block finds is written before the next is collected.
 BLOCK_WORDS = 400_000
 SPAN_SCHEMA = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
@@ -35,7 +37,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class ItemAutomaton:
     """Suffix automaton of many word sequences; ``window`` words of an item, or all of a shorter one, make a hit."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -160,17 +162,15 @@ class ItemAutomaton:
         return merged, found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of bounded size; usually one."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[tuple[list[tuple[str | None, list[bytes]]], bool]]:
+    """The items in blocks of bounded size, one collected at a time, and whether it is the last; usually there is one."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / 2 / block_words))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    out = []
     for k in range(blocks):
-        rows = items.where(part == k).collect()
-        out.append([(r["item"], words_of(r["text"].encode())) for r in rows if r["item"] is not None and r["text"]])
-    return out
+        rows = items.where((part == k) & F.col("text").isNotNull()).collect()
+        yield [(r["item"], words_of(r["text"].encode())) for r in rows], k == blocks - 1
 
 
 def contamination(
@@ -189,10 +189,8 @@ def contamination(
         F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"),
         *(["rest"] if carry else []),
     )
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    for k, block in enumerate(blocks):
+    for block, last in _blocks(benchmark, item_col, item_text_col, block_words):
         shared = spark.sparkContext.broadcast(ItemAutomaton(block, window))
-        last = k == len(blocks) - 1
 
         def scan(batch: pa.RecordBatch, shared=shared, last=last) -> pa.RecordBatch:
             automaton = shared.value
@@ -204,7 +202,7 @@ def contamination(
                 hit = {(x["start"], x["end"]) for x in had} | set(got)
                 n_words.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in _merge(hit)])
-                items.append(sorted(found.union(named)))
+                items.append(sorted(x for x in found.union(named) if x is not None))
             if last and max_coverage is not None:
                 return _cut(batch, n_words, spans, items, max_coverage)
             text = batch.column(1) if keep_text or not last else pa.nulls(batch.num_rows, pa.string())
@@ -213,7 +211,11 @@ def contamination(
                 names=batch.schema.names,
             )
 
-        out = map_batches(out, scan, SPAN_SCHEMA + rest)
+        before, out = out, map_batches(out, scan, SPAN_SCHEMA + rest)
+        if not last:
+            out = written(out, "scanned")
+            discard(before)
+            shared.destroy()
     return out
 
 
