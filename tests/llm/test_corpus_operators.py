@@ -267,6 +267,16 @@ def test_licenses(docs: DataFrame) -> None:
     assert got[20]["base_labels"] == "apache-2,cc-by-nc,mit" and got[21]["n_base"] == 2
 
 
+def test_licenses_with_very_many_places(spark: SparkSession) -> None:
+    text = " ".join(["cc by nc", "under the mit license x"][k % 7 == 3] for k in range(50_000))
+    words = text.split()
+    places = [i for phrase, _ in licenses.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    got = rows_of(licenses.report(spark.createDataFrame([(1, text)], "doc_id long, text string")))[1]
+    assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (len(words), len(places), min(places), max(places))
+    assert got["labels"] == "cc-by-nc,mit" and len(places) == 50_000
+    assert licenses.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_every_license_rule_passes_the_gate() -> None:
     for _, keyword, expression, _, _ in licenses.rules():
         plain = re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", expression)
@@ -321,6 +331,16 @@ def test_line_dedup(spark: SparkSession) -> None:
     assert line_dedup.drop_boilerplate(df.where("false")).count() == 0
 
 
+def test_lines_inside_fixed_blocks_go(spark: SparkSession) -> None:
+    rows = [(k, f"own {k}\nMenu A\nMenu B\nMenu C", f"s{k}") for k in range(20)]
+    # a repeated id: each row loses its own lines only
+    rows += [(3, "Menu B\nanother text\nand me", "s3"), (3, "first\nsecond\nMenu A", "s3"), (None, "Menu C\nno id", "s1"), (None, "keep\nthis", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in line_dedup.drop_boilerplate(df).collect())
+    want = [(k or -1, f"own {k}") for k in range(20)] + [(3, "another text\nand me"), (3, "first\nsecond"), (-1, "no id"), (-1, "keep\nthis")]
+    assert got == sorted(want)
+
+
 def test_line_dedup_equals_its_sql(spark: SparkSession) -> None:
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
@@ -397,9 +417,26 @@ def test_hilbert_curve_visits_neighbours() -> None:
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_packing_deals_a_hot_cell_and_repeated_ids(spark: SparkSession) -> None:
+    hot, ids_of = "the same words again " * 40, packing.tokens("byte_bpe_50k.json").reference_ids
+    rows = [(k, hot) for k in range(60)] + [(7, "another text of that id"), (7, None), (None, "no id"), (100, prose(900)), (101, "mark <|endoftext|> mark")]
+    pieces = [r.asDict() for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=8000).collect()]
+    assert len({p["sequence_id"] >> 36 for p in pieces}) > 5
+    got = defaultdict(int)
+    for p in pieces:
+        got[p["doc_id"], p["doc_tokens"]] += p["length"]
+    want = defaultdict(int)
+    for k, text in rows:
+        n = len(ids_of(text or "")) + 1
+        want[k, n] += n
+    assert got == want
+    assert 50256 in ids_of("mark <|endoftext|> mark")
+
+
 def test_fast_tokens_are_those_of_the_library(spark: SparkSession) -> None:
     t = packing.tokens("byte_bpe_50k.json")
-    for text in [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [x for x in TEXTS if x]:
+    more = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endof"]
+    for text in [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()] + [x for x in TEXTS if x] + more:
         assert (t.ids(text) == t.reference_ids(text)).all()
 
 
@@ -474,8 +511,8 @@ def test_decontamination(docs: DataFrame, spark: SparkSession) -> None:
     windows: dict[tuple, set[str]] = defaultdict(set)
     for i, t in items:
         w = split(t)
-        for k in range(max(1, len(w) - 9)) if w and i is not None else ():
-            windows[tuple(w[k : k + 10])].add(str(i))
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows[tuple(w[k : k + 10])].update(() if i is None else {str(i)})
     sizes = {len(w) for w in windows}
     for blocks in (400_000, 40):
         got = rows_of(decontamination.contamination(docs, bench, block_words=blocks, keep_text=False))
@@ -484,7 +521,7 @@ def test_decontamination(docs: DataFrame, spark: SparkSession) -> None:
             hit, named = set(), set()
             for n in sizes:
                 for i in range(len(w) - n + 1):
-                    if found := windows.get(tuple(w[i : i + n])):
+                    if (found := windows.get(tuple(w[i : i + n]))) is not None:
                         hit.update(range(i, i + n))
                         named |= found
             spans = [x for s in got[k]["spans"] for x in range(s["start"], s["end"])]
@@ -493,6 +530,7 @@ def test_decontamination(docs: DataFrame, spark: SparkSession) -> None:
     assert clean.columns == docs.columns
     assert {r["doc_id"] for r in clean.collect()} == set(range(len(TEXTS))) - {9, 11, 22} - ({10} if len(TEXTS[10].split()) < 120 else set())
     assert decontamination.decontaminate(docs, bench.where("false")).count() == len(TEXTS) + 1
+    assert decontamination.contamination(docs.where("false"), bench).count() == 0
 
 
 def test_automaton_lengths() -> None:
