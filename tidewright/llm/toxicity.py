@@ -648,7 +648,7 @@ def train(
         return pa.RecordBatch.from_arrays(columns, names=["y", "rows", "counts"])
 
     bags = Bags(marks.width)
-    for r in _in_groups(rows, features, "y int, rows array<binary>, counts array<long>").toLocalIterator():
+    for r in _in_groups(rows, features, "y int, rows array<binary>, counts array<long>").collect():
         bags.add(r["y"], [bytes(x) for x in r["rows"]], r["counts"])
     model = solve(bags, marks)
     fitted = context.broadcast(model)
