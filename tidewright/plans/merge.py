@@ -2,6 +2,10 @@
 
 A merge's result has the target's columns and ``_action`` (keep, update, insert, delete). Keys that are equal join by
 hash or sort; NULL keys never match. Clauses apply in call order, the first that holds wins.
+
+A target row stands in the result once, however many source rows have its key: whether it has any is asked of the
+distinct keys, and only source rows for which a clause of matched rows holds are joined to it. If several do, the merge
+is ambiguous and :func:`touched` tells the caller; a plain delete alone bears it.
 """
 
 from __future__ import annotations
@@ -45,40 +49,101 @@ def _chosen(clauses: Sequence[Clause], kinds: tuple[str, ...]) -> Column:
     return out
 
 
-def matches_many(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether some target row has several source rows of its key."""
-    several = source.groupBy(*keys).count().where("count > 1")
-    return not target.join(several, list(keys), "left_semi").isEmpty()
+MATCHED = ("update", "delete", "soft_delete")
+
+
+def firing(clauses: Sequence[Clause]) -> Column | None:
+    """Whether some clause of matched rows holds; none if there is no such clause."""
+    conditions = [F.coalesce(F.expr(c.condition), F.lit(False)) if c.condition else F.lit(True) for c in clauses if c.kind in MATCHED]
+    if not conditions:
+        return None
+    if any(c.kind in MATCHED and not c.condition for c in clauses):
+        return F.lit(True)
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+def deletes_only(clauses: Sequence[Clause]) -> bool:
+    """Matched rows are deleted whatever the source row is, so several of them do no harm."""
+    matched = [c for c in clauses if c.kind in MATCHED]
+    return bool(matched) and matched[0].kind == "delete" and matched[0].condition is None
+
+
+def touched(target: DataFrame, source: DataFrame, clauses: Sequence[Clause], on: str, row: Sequence[str], group: str) -> DataFrame:
+    """(group, most): the groups (files) that hold target rows which a clause changes, and the largest number of source
+    rows that would change one row of it. ``row`` names the columns that tell the target's rows apart."""
+    t, s = target.alias("target"), source.alias("source")
+    out = None
+    fire = firing(clauses)
+    if fire is not None:
+        hits = t.join(s, F.expr(on) & fire).groupBy(*(F.col(f"target.`{c}`") for c in row)).agg(F.count(F.lit(1)).alias("_n"))
+        out = hits.groupBy(group).agg(F.max("_n").alias("most"))
+    orphans = [c for c in clauses if c.kind == "orphan_delete"]
+    if orphans:
+        holds = F.lit(False)
+        for c in orphans:
+            holds = holds | (F.coalesce(F.expr(c.condition), F.lit(False)) if c.condition else F.lit(True))
+        lone = t.join(s, F.expr(on), "left_anti").alias("target").where(holds).select(group).distinct().withColumn("most", F.lit(1).cast("long"))
+        out = lone if out is None else out.unionByName(lone).groupBy(group).agg(F.max("most").alias("most"))
+    return target.select(group).where("false").withColumn("most", F.lit(0).cast("long")) if out is None else out
 
 
 def merge_df(
-    target: DataFrame, source: DataFrame, clauses: Sequence[Clause], *, keys: Sequence[str] | None = None, condition: str | None = None
-) -> DataFrame:
+    target: DataFrame, source: DataFrame, clauses: Sequence[Clause], *, keys: Sequence[str] | None = None, condition: str | None = None,
+    insert_against: DataFrame | None = None,
+) -> DataFrame:
     """Rows of the merged table, deleted ones included, marked by ``_action``.
 
-    Only inserts need no more than an anti join; updates and deletes of matched rows a left join of the target; both
-    together a full outer join. Source rows per target row must be unique for updates (the caller checks).
+    Only inserts need no more than an anti join; unconditional changes of matched rows a left join of the target; those
+    and inserts a full outer join. ``insert_against`` is the whole target where ``target`` is part of it. Of several
+    source rows that change one target row each gives a row: the caller asks :func:`touched` first.
     """
     if not keys and not condition:
         raise ValueError("a merge needs keys or a condition")
     on = condition or key_condition(keys)
     names = target.columns
-    kinds = {c.kind for c in clauses}
     inserts = [c for c in clauses if c.kind == "insert"]
+    orphans = [c for c in clauses if c.kind == "orphan_delete"]
+    fire = firing(clauses)
     t, s = target.alias("target"), source.alias("source")
-    if kinds == {"insert"}:
-        new = s.join(t, F.expr(on), "left_anti")
-        return target.withColumn(ACTION, F.lit("keep")).unionByName(_inserted(new, target, inserts[0]))
+    whole = (target if insert_against is None else insert_against).alias("target")
+
+    def with_new(rows: DataFrame) -> DataFrame:
+        if not inserts:
+            return rows
+        new, taken = s.join(whole, F.expr(on), "left_anti").alias("source"), F.lit(False)
+        for c in inserts:  # the first that holds wins
+            holds = F.coalesce(F.expr(c.condition), F.lit(False)) if c.condition else F.lit(True)
+            rows = rows.unionByName(_inserted(new.where(holds & ~taken), target, c))
+            taken = taken | holds
+        return rows
+
+    if fire is None and not orphans:
+        return with_new(target.withColumn(ACTION, F.lit("keep")))
+    if fire is None or deletes_only(clauses):
+        # nothing of the source's values is wanted
+        matched = "delete" if fire is not None else "keep"
+        has = t.join(s, F.expr(on), "left_semi").withColumn(ACTION, F.lit(matched))
+        lone = t.join(s, F.expr(on), "left_anti").alias("target")
+        return with_new(has.unionByName(lone.withColumn(ACTION, _orphaned(orphans))))
+    always = any(c.kind in MATCHED and not c.condition for c in clauses)
     marked_t, marked_s = target.withColumn("_in_target", F.lit(True)).alias("target"), source.withColumn("_in_source", F.lit(True)).alias("source")
-    if kinds == {"delete"} and all(c.condition is None for c in clauses):  # several matches do no harm
-        gone = t.join(s, F.expr(on), "left_semi").withColumn(ACTION, F.lit("delete"))
-        return t.join(s, F.expr(on), "left_anti").withColumn(ACTION, F.lit("keep")).unionByName(gone)
-    joined = marked_t.join(marked_s, F.expr(on), "full_outer" if inserts else "left_outer")
+    together = always and bool(inserts) and insert_against is None
+    joined = marked_t.join(marked_s, F.expr(on) if always else F.expr(on) & fire, "full_outer" if together else "left_outer")
+    if orphans and not always:
+        # a row whose source rows fire no clause is no orphan
+        known = t.join(s, F.expr(on), "left_anti").withColumn("_lone", F.lit(True)).withColumn("_in_target", F.lit(True)).alias("target")
+        rest = t.join(s, F.expr(on), "left_semi").withColumn("_lone", F.lit(False)).withColumn("_in_target", F.lit(True)).alias("target")
+        joined = known.unionByName(rest).alias("target").join(marked_s, F.expr(on) & fire, "left_outer")
+        orphan = F.col("target._lone")
+    else:
+        orphan = F.col("source._in_source").isNull() if always else F.lit(False)
     both = F.col("target._in_target").isNotNull() & F.col("source._in_source").isNotNull()
-    orphan = F.col("source._in_source").isNull()
     fresh = F.col("target._in_target").isNull()
     pick = (
-        F.when(both, _chosen(clauses, ("update", "delete", "soft_delete")))
+        F.when(both, _chosen(clauses, MATCHED))
         .when(fresh, _chosen(clauses, ("insert",)))
         .when(orphan, _chosen(clauses, ("orphan_delete",)))
     )
@@ -101,13 +166,20 @@ def merge_df(
     out = joined.withColumn("_pick", pick)
     out = out.select(*(v.alias(n) for n, v in values.items()), action.alias(ACTION), fresh.alias("_fresh"), F.col("_pick"))
     # source rows that no insert clause takes
-    return out.where(~(F.col("_fresh") & F.col("_pick").isNull())).drop("_fresh", "_pick")
+    out = out.where(~(F.col("_fresh") & F.col("_pick").isNull())).drop("_fresh", "_pick")
+    return out if together else with_new(out)
+
+
+def _orphaned(orphans: Sequence[Clause]) -> Column:
+    """The action on a target row without a source row."""
+    out = F.lit("keep")
+    for c in orphans:
+        out = F.when(F.coalesce(F.expr(c.condition), F.lit(False)), F.lit("delete")).otherwise(out) if c.condition else F.lit("delete")
+    return out
 
 
 def _inserted(rows: DataFrame, target: DataFrame, clause: Clause) -> DataFrame:
     listed = set(clause.columns or rows.columns)
-    if clause.condition:
-        rows = rows.where(clause.condition)
     return rows.select(
         *((F.col(f"`{f.name}`") if f.name in rows.columns and f.name in listed else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema),
         F.lit("insert").alias(ACTION),

@@ -2,19 +2,20 @@
 
 A version is a set of files below one data folder, so reads keep partition pruning and filter pushdown, older versions
 stay readable, and readers never see half a commit. Appends that lose a race are tried again on the new version;
-rewrites fail, since what they read has changed.
+rewrites fail, since what they read has changed. Merges, deduplication and dimension updates rewrite only the files that
+hold rows they change; the others stay as they are.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,8 @@ from tidewright.sources.log import CommitConflictError, Log, Version
 from tidewright.sources.names import checked_name, forget, rename_root, root_of
 
 Schema = T.StructType | dict[str, str]
+#: Tries of a commit that may lose races.
+ATTEMPTS = 20
 
 
 @dataclass(frozen=True)
@@ -117,11 +120,21 @@ class VersionedTable:
     def dataframe(self, version: int | None = None) -> DataFrame:
         """The table, or an older version of it."""
         v = self.current if version is None else self.log.read(version)
-        if not v.files:
-            return self.spark.createDataFrame([], v.struct)
+        return self._scan(v, v.files)
+
+    def _scan(self, v: Version, names: Iterable[str], places: bool = False) -> DataFrame:
+        """Rows of some files of a version; with ``places`` also the file and the row's number in it."""
+        names = list(names)
+        extra = [("_file", "file_name", "string"), ("_row", "row_index", "long")] if places else []
+        if not names:
+            return self.spark.createDataFrame([], T.StructType([*v.struct.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, _, t in extra)]))
         data = f"{self.root}/data"
-        found = self.spark.read.schema(v.struct).option("basePath", data).parquet(*(f"{data}/{n}" for n in v.files))
-        return found.select(*v.struct.names)
+        # one string crosses to the JVM, whatever the number of files
+        jvm = self.spark.sparkContext._jvm
+        paths = jvm.java.util.regex.Pattern.compile("\n").split("\n".join(f"{data}/{n}" for n in names))
+        reader = self.spark.read.schema(v.struct).option("basePath", data)
+        found = DataFrame(reader._jreader.parquet(paths), self.spark)
+        return found.select(*(f"`{n}`" for n in v.struct.names), *(F.col(f"_metadata.{c}").alias(n) for n, c, _ in extra))
 
     def history(self, limit: int = 20) -> DataFrame:
         """Newest first: version, timestamp, operation, operation_parameters, operation_metrics, n_files."""
@@ -198,21 +211,33 @@ class VersionedTable:
         extra = {"transactions": now.transactions | dict([transaction])} if transaction else {}
         return self._commit(now, "WRITE", files, seen, {"mode": mode}, replace_all=mode == "overwrite", retry=mode == "append", **extra)
 
-    def _commit(self, base: Version, operation: str, files: dict[str, int], metrics: dict[str, int], parameters: dict[str, Any], *, replace_all: bool, retry: bool = False, **extra: Any) -> int:
-        while True:
-            kept = {} if replace_all else base.files
+    def _commit(
+        self, base: Version, operation: str, files: dict[str, int], metrics: dict[str, int], parameters: dict[str, Any], *, replace_all: bool, retry: bool = False,
+        replace: Iterable[str] = (), **extra: Any,
+    ) -> int:
+        """Add files to those of ``base``, less ``replace`` or all of them. With ``retry`` a lost race is tried again on the
+        new version, ``ATTEMPTS`` times at most."""
+        gone = set(replace)
+        for attempt in range(ATTEMPTS):
+            kept = {} if replace_all else {n: size for n, size in base.files.items() if n not in gone}
             try:
                 return self.log.commit(base.next(operation, files=kept | files, operation_metrics=metrics, parameters=parameters, **extra)).version
             except CommitConflictError:
                 now = self.current
-                if not retry or now.schema != base.schema:
+                if not retry or now.schema != base.schema or attempt == ATTEMPTS - 1:
                     raise
+                if now.version == base.version:  # its commit isn't to be seen yet
+                    time.sleep(min(1.0, 0.01 * 2**attempt))
                 base = now
                 if "transactions" in extra:
                     extra["transactions"] = now.transactions | extra["transactions"]
+        raise AssertionError("not reached")
 
-    def rewrite(self, df: DataFrame, operation: str, parameters: dict[str, Any] | None = None, base: Version | None = None) -> dict[str, int]:
-        """Replace all rows by those of ``df``, which may carry ``_action`` marks and may read this table."""
+    def rewrite(
+        self, df: DataFrame, operation: str, parameters: dict[str, Any] | None = None, base: Version | None = None, replace: Iterable[str] | None = None
+    ) -> dict[str, int]:
+        """Replace all rows (or those of the files ``replace``) by those of ``df``, which may carry ``_action`` marks and may
+        read this table."""
         base = base or self.current
         observe = {}
         if plans.ACTION in df.columns:
@@ -222,9 +247,14 @@ class VersionedTable:
         else:
             ready = self._prepared(df, base)
         files, seen = self._store(ready, base, observe)
-        self._commit(base, operation, files, seen, parameters or {}, replace_all=True)
+        self._commit(base, operation, files, seen, parameters or {}, replace_all=replace is None, replace=replace or ())
         return seen
 
+    def _named(self, base: Version, found: DataFrame) -> list[str]:
+        """Files of a version by the names in the column ``_file``; as many rows at most as there are files."""
+        names = {r["_file"] for r in found.select("_file").distinct().collect()}
+        return [n for n in base.files if n.rpartition("/")[2] in names]
+
     def restore(self, version: int) -> int:
         """Make an older version current again, as a new version."""
         if version not in self.log.numbers():
@@ -246,14 +276,14 @@ class VersionedTable:
     def replace_data(self, replacement: str, recovery: str) -> None:
         """The table ``replacement`` takes this one's name; the old data go by the name ``recovery``."""
         new = root_of(self.spark, checked_name(replacement))
-        rename_root(recovery, self.root)
-        rename_root(self.name, new)
-        forget(replacement)
+        rename_root(self.spark, recovery, self.root)
+        rename_root(self.spark, self.name, new)
+        forget(self.spark, replacement)
         self.root, self.log = new, Log(self.spark, new)
 
     def drop(self) -> None:
         self.log.files.delete(self.root)
-        forget(self.name)
+        forget(self.spark, self.name)
 
     # --- merging
 
@@ -268,13 +298,15 @@ class VersionedTable:
         as_of: datetime | None = None, reinsert: bool = True, only_changes: bool = False, metrics_sink: MetricsSink | None = None,
     ) -> MergeResult:
         """Expire active rows of the source's keys and insert the source's rows; see :func:`plans.merge.scd2_df`."""
-        base = self.current
+        base, began = self.current, time.time()
+        placed = self._scan(base, base.files, places=True)
+        hit = placed.where(F.col(active_col)).join(source.select(*keys).distinct(), list(keys), "left_semi")
+        names = self._named(base, hit)
         merged = plans.scd2_df(
-            self.dataframe(), source, keys, as_of=as_of, reinsert=reinsert, only_changes=only_changes, effective_date_col=effective_date_col,
+            self._scan(base, names), source, keys, as_of=as_of, reinsert=reinsert, only_changes=only_changes, effective_date_col=effective_date_col,
             end_date_col=end_date_col, active_col=active_col,
         )
-        began = time.time()
-        seen = self.rewrite(merged, "SCD2", {"keys": list(keys)}, base)
+        seen = self.rewrite(merged, "SCD2", {"keys": list(keys)}, base, replace=names)
         return _merge_result(self, seen, began, metrics_sink)
 
 
@@ -335,14 +367,23 @@ class MergeBuilder:
             raise ValueError("name keys with on(), or a condition with on_condition()")
         if not self.clauses:
             raise ValueError("a merge needs a clause")
-        began, base = time.time(), self.table.current
-        target = self.table.dataframe()
-        merged = plans.merge_df(target, self.source, self.clauses, keys=self.keys, condition=self.condition)
-        matched = any(c.kind in ("update", "soft_delete") or (c.kind == "delete" and (c.condition or len(self.clauses) > 1)) for c in self.clauses)
-        if matched and self.condition is None and plans.matches_many(target, self.source, self.keys):
-            raise plans.MergeConflictError(f"several source rows match one row of {self.table.name}")
-        seen = self.table.rewrite(merged, "MERGE", {"clauses": [c.kind for c in self.clauses]}, base)
-        return _merge_result(self.table, seen, began, self.sink)
+        table, began = self.table, time.time()
+        base, on = table.current, self.condition or plans.key_condition(self.keys)
+        source = self.source.persist()  # read by the search for files and by the merge
+        try:
+            found = plans.touched(table._scan(base, base.files, places=True), source, self.clauses, on, ["_file", "_row"], "_file").collect()
+            if any(r["most"] > 1 for r in found) and not plans.deletes_only(self.clauses):
+                raise plans.MergeConflictError(f"several source rows match one row of {table.name}")
+            named = {r["_file"] for r in found}
+            names = [n for n in base.files if n.rpartition("/")[2] in named]
+            whole = len(names) == len(base.files)
+            merged = plans.merge_df(
+                table._scan(base, names), source, self.clauses, keys=self.keys, condition=self.condition, insert_against=None if whole else table._scan(base, base.files)
+            )
+            seen = table.rewrite(merged, "MERGE", {"clauses": [c.kind for c in self.clauses]}, base, replace=names)
+        finally:
+            source.unpersist()
+        return _merge_result(table, seen, began, self.sink)
 
 
 class TableAppender(VersionedTable):
@@ -368,36 +409,76 @@ def _table(table: VersionedTable | str, spark: SparkSession | None) -> Versioned
     return VersionedTable.open(table, spark=spark) if isinstance(table, str) else table
 
 
-def _deduped(table: VersionedTable, plan: Callable[[DataFrame], DataFrame], operation: str, sink: MetricsSink | None) -> DedupResult:
+def _deduped(
+    table: VersionedTable, groups: Callable[[DataFrame], DataFrame], columns: Sequence[str], plan: Callable[[DataFrame, DataFrame], DataFrame], operation: str,
+    sink: MetricsSink | None,
+) -> DedupResult:
+    """Rewrite the files that hold rows of ``groups``; none, and nothing is committed."""
     began, base = time.time(), table.current
-    target = table.dataframe()
-    total = target.count()  # from file footers
-    written = table.rewrite(plan(target), operation, base=base)
-    result = DedupResult(total - written["rows"], written["rows"])
+    total = table.dataframe(base.version).count()  # from file footers
+    placed = table._scan(base, base.files, places=True)
+    found = groups(placed).persist()
+    try:
+        same = F.lit(True)
+        for c in columns:
+            same = same & F.col(f"p.`{c}`").eqNullSafe(F.col(f"g.`{c}`"))
+        names = table._named(base, placed.alias("p").join(found.alias("g"), same, "left_semi"))
+        removed = 0
+        if names:
+            target = table._scan(base, names)
+            before = target.count()
+            removed = before - table.rewrite(plan(target, found), operation, base=base, replace=names)["rows"]
+    finally:
+        found.unpersist()
+    result = DedupResult(removed, total - removed)
     emit_event(sink, "dedup", "dedup_complete", (time.time() - began) * 1000, result.rows_removed, table.name, {"rows_remaining": result.rows_remaining})
     return result
 
 
 def kill_duplicates(table: VersionedTable | str, columns: Sequence[str], *, spark: SparkSession | None = None, metrics_sink: MetricsSink | None = None) -> DedupResult:
-    """Remove all rows of groups that hold several."""
-    return _deduped(_table(table, spark), lambda df: dedup_plans.kill_duplicates_df(df, columns), "KILL DUPLICATES", metrics_sink)
+    """Remove all rows of groups that hold several; groups with a NULL stay."""
+    columns = dedup_plans.named(columns, "columns")
+    whole = lambda df: dedup_plans.repeated_keys(df.dropna(subset=columns), columns)
+    return _deduped(_table(table, spark), whole, columns, lambda df, found: dedup_plans.kill_duplicates_df(df, columns, found), "KILL DUPLICATES", metrics_sink)
 
 
 def drop_duplicates_pkey(
-    table: VersionedTable | str, pkey: str, columns: Sequence[str], *, by_key: bool = False, spark: SparkSession | None = None, metrics_sink: MetricsSink | None = None
-) -> DedupResult:
-    """Keep the row with the smallest key of each group."""
-    return _deduped(_table(table, spark), lambda df: dedup_plans.drop_duplicates_pkey_df(df, pkey, columns, by_key=by_key), "DROP DUPLICATES", metrics_sink)
+    table: VersionedTable | str, pkey: Sequence[str] | str, columns: Sequence[str], *, by_key: bool = False, spark: SparkSession | None = None,
+    metrics_sink: MetricsSink | None = None,
+) -> DedupResult:
+    """Keep the row with the smallest key (of one column or several) of each group."""
+    own = _table(table, spark)
+    pkey, columns = dedup_plans.named(pkey, "primary key"), dedup_plans.named(columns, "columns")
+    if by_key:  # rows of any file may share a key with one that goes
+        began, base = time.time(), own.current
+        target = own.dataframe(base.version)
+        total = target.count()
+        left = own.rewrite(dedup_plans.drop_duplicates_pkey_df(target, pkey, columns, by_key=True), "DROP DUPLICATES", base=base)["rows"]
+        emit_event(metrics_sink, "dedup", "dedup_complete", (time.time() - began) * 1000, total - left, own.name, {"rows_remaining": left})
+        return DedupResult(total - left, left)
+    least = lambda df: dedup_plans.least_keys(df, pkey, columns)
+    return _deduped(own, least, columns, lambda df, found: dedup_plans.drop_duplicates_pkey_df(df, pkey, columns, least=found), "DROP DUPLICATES", metrics_sink)
 
 
 def append_without_duplicates(
     table: VersionedTable | str, df: DataFrame, keys: Sequence[str], *, spark: SparkSession | None = None, metrics_sink: MetricsSink | None = None
 ) -> int:
-    """Append rows whose keys are new; returns their number."""
+    """Append rows whose keys are new; returns their number. Where another writer commits meanwhile, the rows are looked
+    for again in its version."""
     began, found = time.time(), _table(table, spark)
-    new = dedup_plans.new_rows_df(found.dataframe(), df, keys)
-    files, seen = found._store(found._prepared(new, found.current), found.current)
-    found._commit(found.current, "APPEND NEW", files, seen, {"keys": list(keys)}, replace_all=False, retry=False)
+    keys = dedup_plans.named(keys, "keys")
+    for attempt in range(ATTEMPTS):
+        base = found.current
+        new = dedup_plans.new_rows_df(found.dataframe(base.version), df, keys)
+        files, seen = found._store(found._prepared(new, base), base)
+        try:
+            found._commit(base, "APPEND NEW", files, seen, {"keys": keys}, replace_all=False, retry=False)
+            break
+        except CommitConflictError:
+            for n in files:
+                found.log.files.delete(f"{found.root}/data/{n}")
+            if attempt == ATTEMPTS - 1:
+                raise
     emit_event(metrics_sink, "dedup", "dedup_complete", (time.time() - began) * 1000, seen["rows"], found.name, {"rows_inserted": seen["rows"]})
     return seen["rows"]
 
@@ -405,16 +486,49 @@ def append_without_duplicates(
 # --- maintenance ----------------------------------------------------------------------------------------------------
 
 TARGET_FILE_BYTES = 128 << 20
+#: Bits of each column in a Z-order value.
+Z_BITS = 6
+
+
+def _z_value(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Bits of the columns' ranks in turn. A rank is that of the value among ``1 << Z_BITS`` quantiles; of text, of its
+    first seven bytes as a number."""
+    numbers = []
+    for c in columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.StringType):
+            head = F.rpad(F.substring(F.encode(F.col(f"`{c}`"), "UTF-8"), 1, 7), 7, F.lit(bytearray(1)))
+            numbers.append(F.conv(F.hex(head), 16, 10).cast("double"))
+        elif isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
+            numbers.append(F.col(f"`{c}`").cast("timestamp").cast("double"))
+        else:
+            numbers.append(F.col(f"`{c}`").cast("double"))
+    steps = [k / (1 << Z_BITS) for k in range(1, 1 << Z_BITS)]
+    row = df.agg(*(F.percentile_approx(n, steps, 10_000).alias(f"q{k}") for k, n in enumerate(numbers))).first()
+    ranks = [F.size(F.filter(F.array(*map(F.lit, row[f"q{k}"] or [0.0])), lambda q, n=n: q < n)) for k, n in enumerate(numbers)]
+    out = F.lit(0).cast("long")
+    for bit in reversed(range(Z_BITS)):
+        for rank in ranks:
+            out = F.shiftleft(out, 1).bitwiseOR(F.shiftright(F.coalesce(rank, F.lit(0)), bit).bitwiseAND(F.lit(1)).cast("long"))
+    return out
 
 
 def optimize_table(name: VersionedTable | str, *, zorder_by: Sequence[str] | str | None = None, spark: SparkSession | None = None) -> int:
-    """Rewrite small files as fewer large ones, ranged and sorted by ``zorder_by`` for row-group skipping."""
+    """Rewrite small files as fewer large ones; rows go along a Z-order curve of ``zorder_by`` (one column: in its order),
+    so that filters on any of the columns skip files and row groups."""
     table = _table(name, spark)
     base = table.current
     n = max(1, round(table.size_in_bytes() / TARGET_FILE_BYTES))
     columns = [zorder_by] if isinstance(zorder_by, str) else list(zorder_by or ())
-    df = table.dataframe()
-    df = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns) if columns else df.repartition(n, *base.partition_by) if base.partition_by else df.coalesce(n)
+    if missing := [c for c in columns if c not in base.struct.names]:
+        raise ValueError(f"columns {missing} are not in the schema")
+    df = table.dataframe(base.version)
+    if len(columns) == 1:
+        df = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+    elif columns:
+        df = df.withColumn("_z", _z_value(df, columns)).repartitionByRange(n, "_z").sortWithinPartitions("_z").drop("_z")
+    else:
+        df = df.repartition(n)  # no key, so no partition value is hot
     files, seen = table._store(df, base)
     return table._commit(base, "OPTIMIZE", files, seen, {"zorder_by": columns}, replace_all=True)
 
