@@ -466,6 +466,42 @@ def test_substring_dedup(docs: DataFrame, empty: DataFrame) -> None:
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_by_row(spark: SparkSession) -> None:
+    own = random.Random(4)
+    words = [f"w{k}" for k in range(80)]
+    passage = [f"p{k}" for k in range(230)]
+    rows = [(1, words), (2, [*words, "tail"]), (2, [f"u{k}" for k in range(90)]), (None, words), (None, [*passage, "x"]), (4, passage), (5, ["a", *passage[3:], "b"]), (5, passage[60:140])]
+    for k in range(40):  # pieces of all lengths around the levels
+        at, n = own.randrange(150), own.randrange(8, 80)
+        rows.append((10 + k % 25, [*(f"o{k}x{j}" for j in range(own.randrange(60))), *passage[at : at + n], *(f"q{k}x{j}" for j in range(own.randrange(60)))]))
+    for window in (50, 24, 5):
+        first: dict[tuple, int] = {}
+        for i, w in rows:
+            for k in range(len(w) - window + 1) if i is not None else ():
+                key = tuple(w[k : k + window])
+                first[key] = min(i, first.get(key, i))
+        want = []
+        for i, w in rows:
+            hit = {x for k in range(len(w) - window + 1) if i is not None and first[tuple(w[k : k + window])] < i for x in range(k, k + window)}
+            kept = " ".join(x for k, x in enumerate(w) if k not in hit)
+            want.append((i or -1, len(w), len(hit), hashlib.sha256(kept.encode()).hexdigest(), kept))
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+        got = [(r["doc_id"] or -1, *tuple(r)[1:]) for r in substring_dedup.dedup_substrings(df, window=window).collect()]
+        assert sorted(got) == sorted(want), window
+    assert substring_dedup.levels(50) == [50, 25, 12] and substring_dedup.levels(5) == [5, 2]
+    alone = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(70))) for k in range(5)], "doc_id long, text string")
+    assert {(r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_substrings(alone).collect()} == {(70, 0)}
+
+
+@pytest.mark.parametrize("name", ["op7_substring_dedup", "op9_decontamination"])
+def test_queries_equal_their_sql(spark: SparkSession, name: str) -> None:
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    assert {tuple(r) for r in queries.QUERIES[name](spark, SMALL).select(*want.columns).collect()} == set(want.fetchall())
+
+
 # --- 8
 
 

@@ -273,3 +273,34 @@ def decontaminate(
         max_coverage=max_coverage,
     )
     return restored(found, documents, id_col, text_col)
+
+
+def _grams(n: int) -> str:
+    words = ", ".join(["word", *(f"lead(word, {k}) OVER w" for k in range(1, n))])
+    return (
+        f"SELECT doc_id, pos, {n} AS n, concat_ws(' ', {words}) AS g, lead(pos, {n - 1}) OVER w AS past FROM t "
+        "WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
+    )
+
+
+_SQL_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+#: Every n-gram of the documents for the lengths that windows have, joined to the items' windows by text.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark),
+x AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)
+),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+p AS ({" UNION ALL ".join(f"SELECT * FROM ({_grams(n)}) WHERE past IS NOT NULL AND EXISTS (SELECT 1 FROM x WHERE n = {n})" for n in range(1, 11))}),
+h AS (SELECT p.doc_id, p.pos, p.n, x.item FROM p JOIN x ON p.n = x.n AND p.g = x.g),
+c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS place FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import licenses, line_dedup, warc
+from tidewright.llm import decontamination, licenses, line_dedup, substring_dedup, warc
 from tidewright.llm.common import table
 from tidewright.llm.decontamination import contamination
 from tidewright.llm.language import identify_held_out
@@ -79,4 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE, "op8_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op7_substring_dedup": substring_dedup.ORACLE,
+    "op8_warc": warc.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
+}
