@@ -29,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(found)
         found = f"file://{found}"
@@ -132,3 +134,19 @@ def small_or_shuffled(df: DataFrame, limit: int) -> DataFrame:
     """A broadcast hint for ``df`` (cheap to read again, such as one from :func:`written`) if it has at most ``limit``
     rows; else Spark's joins shuffle it."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+#: Rows of a key that one task may always join, and keys with more of them that may be broadcast.
+HOT_ROWS, HOT_KEYS = 200, 50_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``left``, of at most ``total`` rows, with ``right``: one row a key, with its rows in ``left`` as ``n``.
+
+    Keys with more than ``HOT_ROWS`` rows, and more than ``total / HOT_KEYS`` of them, are joined by a broadcast. There
+    are at most ``HOT_KEYS`` such keys, so its size is bounded whatever the data; no task of the shuffle join for the
+    others gets a key of more rows than that.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = right.where(F.col("n") > most)
+    return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col("n") <= most), keys))

@@ -2,6 +2,9 @@
 
 Every step is aggregation and equi-joins on DataFrames; links never reach the driver, which only compares a count and a
 checksum of the link table to see the fixed point. The state between rounds is a Parquet table in the shared folder.
+
+The centre of a large star has a row for each of its leaves. Rows of such nodes aren't shuffled to be joined: the nodes
+are so few, whatever the number of links, that their smallest neighbours are broadcast.
 """
 
 from __future__ import annotations
@@ -9,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import discard, written
+from tidewright.llm.common import discard, hot_join, written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return hot_join(both.where("b > a"), least, ["a"], 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
     state = written(links.where("a <> b").select("a", "b").distinct(), "links")
     mark = _mark(state)
     while mark[0]:
-        after = written(_small_star(_large_star(state)).where("a <> b").distinct(), "links")
+        after = written(_small_star(_large_star(state, mark[0])).where("a <> b").distinct(), "links")
         now = _mark(after)
         discard(state)
         state = after

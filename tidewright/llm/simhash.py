@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import as_bytes, keyed, map_batches, restored, small_or_shuffled, with_rest, written
+from tidewright.llm.common import as_bytes, hot_join, keyed, map_batches, restored, small_or_shuffled, with_rest, written
 from tidewright.llm.components import components
 
 #: Fingerprints that may share a segment value before they are linked by shared neighbours.
@@ -125,10 +125,10 @@ def simhash_components(df: DataFrame, size: int = 3, id_col: str = "doc_id", tex
     """(doc_id, fp, component_id): fingerprints that differ in at most two bits link; component_id is the smallest
     doc_id reachable."""
     docs = written(fingerprints(df, size, 1, id_col, text_col), "fingerprints").withColumnRenamed("fp0", "fp")
-    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
+    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct")
     found = components(link_fingerprints(fps))
-    of = fps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return docs.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = fps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n")
+    return hot_join(docs, of, ["fp"], docs.count()).select("doc_id", "fp", "component_id")
 
 
 # --- filtering ------------------------------------------------------------------------------------------------------
@@ -205,8 +205,10 @@ def near_duplicates(df: DataFrame, *, size: int = 5, similarity: float = 0.8, id
     """
     texts = keyed(df, id_col, text_col)
     prints = written(signatures(texts, size), "prints")
-    firsts = written(prints.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("h1", "h2", "f.*"), "firsts")
-    same = prints.select("h1", "h2", F.col("doc_id").alias("b")).join(firsts.select("h1", "h2", F.col("doc_id").alias("a")), ["h1", "h2"]).where("a <> b").select("a", "b")
+    firsts = prints.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("f"), F.count(F.lit(1)).alias("n"))
+    firsts = written(firsts.select("h1", "h2", "f.*", "n"), "firsts")
+    several = firsts.where("n > 1").select("h1", "h2", F.col("doc_id").alias("a"), "n")
+    same = hot_join(prints.select("h1", "h2", F.col("doc_id").alias("b")), several, ["h1", "h2"], prints.count()).where("a <> b").select("a", "b")
 
     keys = firsts.select("doc_id", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
