@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -27,6 +28,7 @@ from tidewright.llm import (
     substring_dedup,
     toxicity,
     warc,
+    webp,
 )
 
 SMALL = "/root/testdata/sf0.001"
@@ -592,6 +594,36 @@ def test_media(docs: DataFrame, empty: DataFrame) -> None:
     assert media.media_features(media.store_media(empty)).count() == 0
 
 
+def plain_feature(payload: bytes) -> str:
+    n, h = len(payload), len(payload) // 64
+    mean = sum(payload) / n
+    dev = max(0.0, sum(b * b for b in payload) / n - mean * mean) ** 0.5
+    bits = sum(-c / n * math.log2(c / n) for c in Counter(payload).values())
+    columns = [sum(sum(payload[x::64]) for x in range(8 * k, 8 * k + 8)) / 8 / h for k in range(8)]
+    return f"h={h};mean={mean:.3f};dev={dev:.3f};bits={max(0.0, bits):.3f};cols=" + ",".join(f"{c:.1f}" for c in columns)
+
+
+def test_media_features_against_plain_sums(docs: DataFrame) -> None:
+    number = lambda text: [float(x) for x in re.findall(r"[-0-9.]+", text)]
+    stored = rows_of(media.store_media(docs))
+    got = rows_of(media.media_features(media.store_media(docs)))
+    for k, t in enumerate(TEXTS):
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        own = bytes(stored[k]["media"])
+        assert (got[k]["media_bytes"], got[k]["media_sha256"]) == (len(own), hashlib.sha256(own).hexdigest())
+        assert webp.load(own) == payload
+        assert np.allclose(number(got[k]["feature"]), number(plain_feature(payload)), atol=0.11), k
+
+
+def test_media_of_long_texts(spark: SparkSession) -> None:
+    long = ("é wind " * 200_000)[: 1_100_000]
+    got = media.media_features(media.store_media(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string"))).collect()
+    assert got[0][1:] == got[1][1:] and got[0]["n_bytes"] == len(long.encode()) > webp.PICTURE
+    payload = media.padded(long.encode())
+    assert got[0]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got[0]["tail_crc32"] == zlib.crc32(payload[-64:])
+
+
 def test_registered_queries_have_the_contract_columns(spark: SparkSession) -> None:
     columns = {
         "op1_simhash": "doc_id fingerprint component_id", "op2_toxicity": "doc_id held_out score predicted", "op3_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",

@@ -210,3 +210,53 @@ def test_broken_images_are_refused() -> None:
             webp.decode(media[:cut])
     with pytest.raises(webp.BrokenImage):
         webp.code_table(np.array([1, 2, 0], dtype=np.uint8))
+
+
+def _chunks(raw: bytes, at: int, order: str, name_first: bool) -> dict[bytes, bytes]:
+    """The chunks of a RIFF or PNG file by name; equal names are joined."""
+    out: dict[bytes, bytes] = {}
+    while at + 8 <= len(raw):
+        a, b = raw[at : at + 4], raw[at + 4 : at + 8]
+        name, size = (a, b) if name_first else (b, a)
+        n = int.from_bytes(size, order)
+        out[name] = out.get(name, b"") + raw[at + 8 : at + 8 + n]
+        at += 8 + n + (n & 1 if name_first else 4)
+    return out
+
+
+def test_a_stream_of_another_writer() -> None:
+    """The alpha plane of a picture in Python's own test files is a lossless stream without a header; the same picture
+    lies there as PNG."""
+    import test.test_email
+    import zlib
+    from pathlib import Path
+
+    folder = Path(test.test_email.__file__).parent / "data"
+    if not (folder / "python.webp").exists():
+        pytest.skip("this Python has no test files")
+    alpha = _chunks((folder / "python.webp").read_bytes(), 12, "little", True)[b"ALPH"]
+    assert alpha[0] == 1  # lossless, not filtered
+    w = webp.Writer()
+    webp.header(w, 16, 16)
+    got = webp.decode(webp.framed(w.packed() + alpha[1:])) >> 8 & 255
+    png = _chunks((folder / "python.png").read_bytes(), 8, "big", False)
+    assert png[b"IHDR"][:10] == bytes([0, 0, 0, 16, 0, 0, 0, 16, 8, 3])
+    rows = np.frombuffer(zlib.decompress(png[b"IDAT"]), dtype=np.uint8).reshape(16, 17)
+    assert not rows[:, 0].any()  # no filters
+    opacity = np.full(256, 255, dtype=np.uint32)
+    opacity[: len(png[b"tRNS"])] = list(png[b"tRNS"])
+    assert (got == opacity[rows[:, 1:]]).all()
+
+
+@pytest.mark.parametrize("mode", [webp.LEFT, webp.ABOVE])
+def test_bytes_that_a_predictor_shortens(mode: int) -> None:
+    steps = np.random.default_rng(mode).integers(0, 3, (96, webp.WIDTH))
+    raw = np.cumsum(steps, axis=1 if mode == webp.LEFT else 0).astype(np.uint8).tobytes()
+    found = webp._differences(np.frombuffer(raw, dtype=np.uint8))
+    assert found is not None and found[0] == mode
+    media = webp.store(raw)
+    assert webp.load(media) == raw and len(media) < len(raw) / 2
+    # the vectorised inverse is that of the general one
+    r = np.random.default_rng(9).integers(0, 256, (5, 7, 4)).astype(np.int32)
+    general = webp.predictions(np.full(1, mode), 9, 7, 5, [None] * 35, r.reshape(-1, 4).tolist(), True)
+    assert webp._summed(r, mode).tolist() == general

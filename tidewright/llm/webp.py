@@ -5,8 +5,8 @@ colour cache, and the predictor, cross-colour, subtract-green and colour-indexin
 group whose red, blue and alpha codes are single symbols (palette images) take a vectorised way: the code word at
 *every* bit position is looked up at once with NumPy, and one tight loop follows the chain of lengths.
 
-The encoder writes bytes as palette images (one pixel a byte), with Huffman literals and back-references for repeated
-lines.
+The encoder writes bytes one a pixel: as palette images, with Huffman literals and back-references for repeated lines, or,
+where differences from the pixel before or above have clearly less entropy, with a predictor.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ NEAR = (
     (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+#: Predictors that the encoder writes.
+LEFT, ABOVE = 1, 2
 CACHE_MULTIPLIER = 0x1E35A7BD
 MASK32 = 0xFFFFFFFF
 #: Pixels of one picture written by :func:`store`: 64 wide and at most 16,384 high.
@@ -378,6 +380,19 @@ def predictions(modes: np.ndarray, block: int, width: int, height: int, pixels:
     return pixels if inverse else residual
 
 
+def _summed(residual: np.ndarray, mode: int) -> np.ndarray:
+    """Inverse of one predictor over a whole image, the pixel before or the one above, as running sums."""
+    out = residual.copy()
+    out[0, 0, 3] += 255
+    if mode == ABOVE:
+        out[0] = np.cumsum(out[0], axis=0)
+        out = np.cumsum(out, axis=0)
+    else:
+        out[:, 0] = np.cumsum(out[:, 0], axis=0)
+        out = np.cumsum(out, axis=1)
+    return (out & 255).reshape(-1, 4)
+
+
 def _cross(channels: np.ndarray, elements: np.ndarray, block: int, width: int, height: int, sign: int) -> np.ndarray:
     """Add (1) or take away (-1) the cross-colour deltas."""
     across = -(-width >> block)
@@ -453,9 +468,10 @@ def decode(data: bytes) -> np.ndarray:
             channels &= 255
         elif kind == CROSS_COLOUR:
             channels = _cross(channels, table, block, wide, height, 1)
+        elif len(set(modes := ((table >> 8) & 15).tolist())) == 1 and modes[0] in (LEFT, ABOVE):
+            channels = _summed(channels.reshape(height, wide, 4), modes[0])
         else:
-            modes = (table >> 8) & 15
-            channels = np.array(predictions(modes, block, wide, height, [None] * len(channels), channels.tolist(), True))
+            channels = np.array(predictions(np.array(modes), block, wide, height, [None] * len(channels), channels.tolist(), True))
         pixels = _pixels(channels)
     return pixels.reshape(height, width)
 
@@ -577,10 +593,62 @@ def _repeats(data: bytes, least: int = 24) -> list[tuple[int, int, int]]:
     return out
 
 
+def _entropy(x: np.ndarray) -> float:
+    """Bits that the values take with a code of their own."""
+    counts = np.bincount(x, minlength=256)
+    counts = counts[counts > 0]
+    return float(len(x) * np.log2(len(x)) - counts @ np.log2(counts))
+
+
+#: A predictor's differences must take less than this share of the values' own bits, and this many bits less.
+GAIN, GAIN_BITS = 0.7, 800
+
+
+def _differences(raw: np.ndarray) -> tuple[int, np.ndarray] | None:
+    """The better predictor and its differences, if it is worth while."""
+    own, found = _entropy(raw), None
+    least = min(own * GAIN, own - GAIN_BITS)
+    picture = raw.reshape(-1, WIDTH)
+    for mode in (LEFT, ABOVE):
+        before = np.empty_like(picture)
+        if mode == LEFT:
+            before[:, 1:], before[1:, 0], before[0, 0] = picture[:, :-1], picture[:-1, 0], 0
+        else:
+            before[1:], before[0, 1:], before[0, 0] = picture[:-1], picture[0, :-1], 0
+        difference = (picture - before).reshape(-1)
+        if (bits := _entropy(difference)) < least:
+            least, found = bits, (mode, difference)
+    return found
+
+
+def _encode_differences(mode: int, difference: np.ndarray) -> bytes:
+    w, one = Writer(), np.zeros(256, dtype=np.uint8)
+    one[0] = 1
+    header(w, WIDTH, len(difference) // WIDTH)
+    w.put(1, 1)
+    w.put(PREDICTOR, 2)
+    w.put(7, 3)  # blocks of 512 pixels
+    w.put(0, 1)
+    modes = np.zeros(280, dtype=np.uint8)
+    modes[mode] = 1
+    for code in (modes, one, one, one, one[:40]):
+        write_code(w, code)
+    for _ in range(3):  # no further transform, no colour cache, one prefix group
+        w.put(0, 1)
+    lengths = huffman_lengths(np.bincount(difference, minlength=280))
+    for code in (lengths, one, one, one, one[:40]):
+        write_code(w, code)
+    if np.count_nonzero(lengths) > 1:
+        w.many(code_words(lengths)[difference], lengths[difference])
+    return framed(w.packed())
+
+
 def encode_bytes(data: bytes) -> bytes:
     """A picture of ``len(data)`` (a multiple of 64, at most :data:`PICTURE`) pixels; the bytes are its green values."""
     raw = np.frombuffer(data, dtype=np.uint8)
     height = len(raw) // WIDTH
+    if found := _differences(raw):
+        return _encode_differences(*found)
     palette = np.flatnonzero(np.bincount(raw, minlength=256))
     back = np.zeros(256, dtype=np.uint8)
     back[palette] = np.arange(len(palette))
