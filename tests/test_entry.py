@@ -46,6 +46,7 @@ def test_query(name: str, spark: SparkSession, con: duckdb.DuckDBPyConnection) -
 def test_entry(spark: SparkSession) -> None:
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(own.QUERIES) - set(own.ORACLES) == {"profile_approximate"}
 
 
 @pytest.mark.skipif(importlib.util.find_spec("tidewright.llm") is None, reason="that subpackage was taken out")

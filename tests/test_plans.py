@@ -91,3 +91,19 @@ def test_scd2(spark: SparkSession) -> None:
     assert set(run(reinsert=False)) == {(1, "a"), (2, "b"), (2, "old"), (3, "C")}
     same = merge.scd2_df(target, source.union(spark.createDataFrame([(1, "a")], source.schema)), ["id"], as_of=now, only_changes=True)
     assert {r["name"]: r["is_active"] for r in merge.surviving(same).where("id = 1").collect()} == {"a": True}
+
+
+def test_keys_of_several_columns(spark: SparkSession) -> None:
+    df = spark.createDataFrame([(1, 5, "a"), (1, 4, "a"), (None, 9, "a"), (2, 1, "b"), (2, 1, "b")], "p int, q int, g string")
+    assert found(dedup.drop_duplicates_pkey_df(df, ["p", "q"], ["g"])) == sorted([(None, 9, "a"), (2, 1, "b")], key=str)
+    for bad in (lambda: dedup.kill_duplicates_df(df, []), lambda: dedup.drop_duplicates_pkey_df(df, [], ["g"]), lambda: dedup.drop_duplicates_pkey_df(df, "p", []), lambda: dedup.new_rows_df(df, df, [])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_exports() -> None:
+    import tidewright
+
+    assert all(getattr(tidewright, n) is not None for n in tidewright.__all__) and "VersionedTable" in dir(tidewright)
+    with pytest.raises(AttributeError):
+        tidewright.nothing  # noqa: B018

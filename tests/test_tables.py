@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from datetime import UTC, datetime
 
@@ -246,3 +247,111 @@ def test_metrics_table(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     assert sink.table.dataframe().count() == 2 and len(sink.buffer) == 1 and len(other.events) == 3
     both.flush()
     assert {r["metadata"] for r in sink.table.dataframe().collect()} == {'{"k": 0}', '{"k": 1}', '{"k": 2}'}
+
+
+def test_merge_clauses_with_repeated_source_keys(temp_table, spark: SparkSession) -> None:  # noqa: ANN001
+    kind = "id int, name string, value int"
+    twice = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (9, "n", 9), (9, "m", 9)], kind)
+
+    def after(build) -> list:  # noqa: ANN001
+        table = temp_table(KIND, ROWS)
+        build(table.merge(twice)).execute()
+        return sorted(tuple(r) for r in table.dataframe().collect())
+
+    assert after(lambda m: m.on("id").when_not_matched_by_source_delete()) == [(1, "a", 100)]
+    assert after(lambda m: m.on("id").when_not_matched_by_source_delete("target.value > 250")) == [(1, "a", 100), (2, "b", 200)]
+    assert after(lambda m: m.on("id").when_not_matched_insert().when_not_matched_by_source_delete()) == [(1, "a", 100), (9, "m", 9), (9, "n", 9)]
+    assert after(lambda m: m.on("id").when_matched_delete().when_not_matched_insert()) == [(2, "b", 200), (3, "c", 300), (9, "m", 9), (9, "n", 9)]
+    assert after(lambda m: m.on("id").when_matched_delete("source.name = 'y'")) == [(2, "b", 200), (3, "c", 300)]
+    assert after(lambda m: m.on("id").when_matched_delete("source.name = 'z'").when_not_matched_by_source_delete()) == [(1, "a", 100)]
+    for build in (
+        lambda m: m.on("id").when_matched_update(), lambda m: m.on_condition("target.id = source.id").when_matched_update(),
+        lambda m: m.on("id").when_matched_soft_delete(deleted_col="value", deleted_at_col=None), lambda m: m.on("id").when_matched_delete("source.value > 0"),
+        lambda m: m.on("id").when_matched_update().when_not_matched_insert(),
+    ):
+        table = temp_table(KIND, ROWS)
+        with pytest.raises(MergeConflictError):
+            build(table.merge(twice)).execute()
+        assert content(table) == set(ROWS) and table.current.version == 1
+
+
+def test_only_touched_files_are_rewritten(temp_table, spark: SparkSession) -> None:  # noqa: ANN001
+    table = temp_table(KIND)
+    rows = spark.range(1000).selectExpr("CAST(id AS INT) AS id", "CAST(id % 7 AS STRING) AS name", "CAST(id AS INT) AS value")
+    table.write(rows.repartitionByRange(100, "id"))
+    before = set(table.current.files)
+    assert len(before) > 90
+    table.upsert(spark.createDataFrame([(500, "new", 1)], "id int, name string, value int"), ["id"])
+    assert len(before - set(table.current.files)) == 1 and len(set(table.current.files) - before) == 1
+    assert table.dataframe().count() == 1000 and table.dataframe().where("name = 'new'").count() == 1
+    before, version = set(table.current.files), table.current.version
+    assert v.kill_duplicates(table, ["id"]) == v.DedupResult(0, 1000) and table.current.version == version
+    table.write(spark.createDataFrame([(3, "copy", 0)], "id int, name string, value int"))
+    assert v.drop_duplicates_pkey(table, ["value", "name"], ["id"]) == v.DedupResult(1, 1000)
+    assert len(before - set(table.current.files)) == 1 and table.dataframe().where("id = 3").first()["name"] == "copy"
+
+
+def test_the_log_keeps_changes_and_whole_sets(temp_table, spark: SparkSession) -> None:  # noqa: ANN001
+    table = temp_table(KIND)
+    df = spark.createDataFrame(ROWS[:1], "id int, name string, value int").coalesce(1)
+    for _ in range(24):
+        table.write(df)
+    steps = {n: json.loads(table.log.files.read(table.log._name(n))) for n in table.log.numbers()}
+    assert [n for n, x in steps.items() if "files" in x] == [0, 1, 20] and len(steps[22]["add"]) == 1
+    other = v.VersionedTable.open(table.name, spark=spark)
+    assert other.dataframe().count() == 24 and other.dataframe(7).count() == 7
+    other.restore(3)
+    assert table.dataframe().count() == 3
+
+
+def test_a_dead_writer_blocks_nobody(temp_table, spark: SparkSession) -> None:  # noqa: ANN001
+    table = temp_table(KIND, ROWS)
+    name = table.log._name(table.current.version + 1)
+    table.log.files.put(f"{name}.lock", "")
+    table.log.files.put(f"{name}.dead.tmp", "half")
+    began = time.time()
+    table.write(spark.createDataFrame([(7, "g", 7)], "id int, name string, value int"))
+    assert table.dataframe().count() == 4 and time.time() - began < 20
+
+
+def test_append_new_sees_a_commit_in_between(temp_table, spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:  # noqa: ANN001
+    table, new = temp_table(KIND, ROWS), spark.createDataFrame([(7, "g", 7), (8, "h", 8)], "id int, name string, value int")
+    store, raced = table._store, []
+
+    def slow(*args, **named):  # noqa: ANN002, ANN003, ANN202
+        out = store(*args, **named)
+        if not raced:
+            raced.append(v.VersionedTable.open(table.name, spark=spark).write(new.where("id = 7")))
+        return out
+
+    monkeypatch.setattr(table, "_store", slow)
+    assert v.append_without_duplicates(table, new, ["id"]) == 1
+    assert sorted(r["id"] for r in table.dataframe().collect()) == [1, 2, 3, 7, 8]
+
+
+def test_names_outlive_the_process(temp_table, spark: SparkSession) -> None:  # noqa: ANN001
+    from tidewright.sources import names
+
+    a, b = temp_table(KIND, ROWS), temp_table(KIND, ROWS[:1])
+    a.replace_data(b.name, f"{a.name}_old")
+    assert names.root_of(spark, a.name) == b.location() and v.VersionedTable.open(a.name, spark=spark).dataframe().count() == 1
+    assert v.VersionedTable.open(f"{a.name}_old", spark=spark).dataframe().count() == 3
+    assert not [n for n in vars(names) if n.startswith("_R")]  # nothing is kept in the process
+
+
+def test_z_order_keeps_near_values_together(temp_table, spark: SparkSession) -> None:  # noqa: ANN001
+    table = temp_table({"a": "int", "b": "string", "c": "date"})
+    df = spark.range(4000).selectExpr("CAST(id * 7919 % 4000 AS INT) AS a", "CAST(id * 104729 % 4000 AS STRING) AS b", "date_add(DATE'2024-01-01', CAST(id % 300 AS INT)) AS c")
+    table.write(df)
+    monkey = v.TARGET_FILE_BYTES
+    try:
+        v.TARGET_FILE_BYTES = max(1, table.size_in_bytes() // 16)
+        v.optimize_table(table, zorder_by=["a", "b"])
+    finally:
+        v.TARGET_FILE_BYTES = monkey
+    assert len(table.current.files) > 8 and table.dataframe().exceptAll(df).isEmpty()
+    placed = table._scan(table.current, table.current.files, places=True)
+    spread = [r[1] for r in placed.groupBy("_file").agg({"a": "max"}).collect()], [r[1] for r in placed.groupBy("_file").agg({"a": "min"}).collect()]
+    assert sum(x - y for x, y in zip(*spread, strict=True)) / len(spread[0]) < 2600  # of 4,000
+    with pytest.raises(ValueError):
+        v.optimize_table(table, zorder_by=["gone"])

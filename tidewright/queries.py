@@ -5,50 +5,23 @@ Every query runs over its whole tables. NULLs and duplicates that the tables lac
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from tidewright.operators import quality as q
 from tidewright.operators import transforms as t
 from tidewright.operators.filters import ColumnFilter, DropDuplicates, FilterPipeline, WhereFilter
 from tidewright.plans import dedup, merge
+from tidewright.registry import AS_OF, ORACLES, QUERIES, read, registered, scratch
 from tidewright.schema.alter import TableAlter
 from tidewright.schema.diff import SchemaDiff
 from tidewright.schema.migrations import MigrationRunner, MigrationStep
 from tidewright.sources import versioned as v
 from tidewright.streaming.reader import StreamingTableReader
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-AS_OF = datetime(2024, 2, 1)
-
-
-def registered(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="tidewright-")
-
 
 # --- filters and projections ----------------------------------------------------------------------------------------
 

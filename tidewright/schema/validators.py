@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.job.session import active_fallback
 from tidewright.sources.log import Log
@@ -32,6 +32,22 @@ class ValidationResult:
             raise MigrationError(f"{self.table}: " + "; ".join(self.errors))
 
 
+def describe_table(name: str, *, spark: SparkSession | None = None) -> DataFrame:
+    """(name, type, nullable, comment, is_partition) of the columns of a versioned table, or of a table or view of the
+    session's catalog."""
+    session = active_fallback(spark)
+    if Log(session, root_of(session, name)).last() is not None:
+        table = VersionedTable.open(name, spark=session)
+        schema, partitions = table.schema, set(table.partition_columns())
+    elif session.catalog.tableExists(name):
+        schema = session.table(name).schema
+        partitions = {c.name for c in session.catalog.listColumns(name) if c.isPartition}
+    else:
+        raise LookupError(f"there is no table {name}")
+    rows = [(f.name, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("comment"), f.name in partitions) for f in schema]
+    return session.createDataFrame(rows, "name string, type string, nullable boolean, comment string, is_partition boolean")
+
+
 class TableValidator:
     """Compares a table's columns, partition columns (as sets), location and generated columns with what is expected."""
 

@@ -505,7 +505,11 @@ def _z_value(df: DataFrame, columns: Sequence[str]) -> Column:
             numbers.append(F.col(f"`{c}`").cast("double"))
     steps = [k / (1 << Z_BITS) for k in range(1, 1 << Z_BITS)]
     row = df.agg(*(F.percentile_approx(n, steps, 10_000).alias(f"q{k}") for k, n in enumerate(numbers))).first()
-    ranks = [F.size(F.filter(F.array(*map(F.lit, row[f"q{k}"] or [0.0])), lambda q, n=n: q < n)) for k, n in enumerate(numbers)]
+
+    def rank_of(quantiles: list[float], value: Column) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, quantiles)), lambda q: q < value))
+
+    ranks = [rank_of(row[f"q{k}"] or [0.0], n) for k, n in enumerate(numbers)]
     out = F.lit(0).cast("long")
     for bit in reversed(range(Z_BITS)):
         for rank in ranks:

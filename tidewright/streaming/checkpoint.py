@@ -123,13 +123,8 @@ class CompatibilityResult:
 def remember_schema(path: str, schema: T.StructType, *, spark: SparkSession | None = None) -> None:
     """Keep the source's schema beside a checkpoint, for :func:`check_compatibility`."""
     files = Files(active_fallback(spark), path)
-    if files.exists(f"{path}/{SCHEMA_FILE}"):
-        files.delete(f"{path}/{SCHEMA_FILE}")
-    for leftover in (f"{path}/{SCHEMA_FILE}.lock",):
-        if files.exists(leftover):
-            files.delete(leftover)
     files.fs.mkdirs(files.path(path))
-    files.create(f"{path}/{SCHEMA_FILE}", schema.json())
+    files.put(f"{path}/{SCHEMA_FILE}", schema.json())
 
 
 def check_compatibility(path: str, schema: T.StructType, *, spark: SparkSession | None = None) -> CompatibilityResult:

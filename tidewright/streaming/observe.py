@@ -103,10 +103,29 @@ class HealthStatus(Enum):
     UNHEALTHY = 2
 
 
+@dataclass(frozen=True)
+class HealthDetail:
+    """One check: its name, outcome and what it saw."""
+
+    check: str
+    status: HealthStatus
+    message: str
+
+
 @dataclass
 class HealthResult:
-    status: HealthStatus
-    reasons: list[str] = field(default_factory=list)
+    """The worst of all checks."""
+
+    details: list[HealthDetail] = field(default_factory=list)
+
+    @property
+    def status(self) -> HealthStatus:
+        return max((d.status for d in self.details), key=lambda s: s.value, default=HealthStatus.HEALTHY)
+
+    @property
+    def reasons(self) -> list[str]:
+        """Why the status isn't healthy."""
+        return [d.message for d in self.details if d.status is not HealthStatus.HEALTHY]
 
 
 class StreamingHealthCheck:
@@ -121,21 +140,27 @@ class StreamingHealthCheck:
         self._since = clock()
 
     def evaluate(self) -> HealthResult:
+        """Every check that applies, passed ones too; a query that isn't running gets no other."""
+        out = HealthResult()
+
+        def add(check: str, bad: bool, status: HealthStatus, message: str) -> None:
+            out.details.append(HealthDetail(check, status if bad else HealthStatus.HEALTHY, message))
+
         if not self.query.isActive:
-            return HealthResult(HealthStatus.UNHEALTHY, ["the query is not running"])
+            add("active", True, HealthStatus.UNHEALTHY, "the query is not running")
+            return out
+        add("active", False, HealthStatus.UNHEALTHY, "the query is running")
         progress, now = self.query.lastProgress, self.clock()
         waited = now - self._since
         if progress is None:
-            return HealthResult(HealthStatus.UNHEALTHY, [f"no progress for {waited:.0f} s"]) if waited > self.stale_after else HealthResult(HealthStatus.HEALTHY)
+            add("progress", waited > self.stale_after, HealthStatus.UNHEALTHY, f"no progress for {waited:.0f} s")
+            return out
         snapshot = QueryProgressSnapshot.of(progress)
-        found: list[tuple[HealthStatus, str]] = []
         if snapshot.batch_id != self._batch:
-            self._batch, self._since = snapshot.batch_id, now
-        elif waited > self.stale_after:
-            found.append((HealthStatus.UNHEALTHY, f"batch {snapshot.batch_id} is the last for {waited:.0f} s"))
-        if self.slow is not None and snapshot.batch_duration_ms > self.slow:
-            found.append((HealthStatus.DEGRADED, f"a batch took {snapshot.batch_duration_ms} ms"))
-        if self.rate is not None and snapshot.processed_rows_per_second < self.rate:
-            found.append((HealthStatus.DEGRADED, f"{snapshot.processed_rows_per_second:g} rows a second"))
-        worst = max((s for s, _ in found), key=lambda s: s.value, default=HealthStatus.HEALTHY)
-        return HealthResult(worst, [r for _, r in found])
+            self._batch, self._since, waited = snapshot.batch_id, now, 0.0
+        add("progress", waited > self.stale_after, HealthStatus.UNHEALTHY, f"batch {snapshot.batch_id} is the last for {waited:.0f} s")
+        if self.slow is not None:
+            add("batch_duration", snapshot.batch_duration_ms > self.slow, HealthStatus.DEGRADED, f"a batch took {snapshot.batch_duration_ms} ms")
+        if self.rate is not None:
+            add("processing_rate", snapshot.processed_rows_per_second < self.rate, HealthStatus.DEGRADED, f"{snapshot.processed_rows_per_second:g} rows a second")
+        return out
