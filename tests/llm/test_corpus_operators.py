@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -119,6 +121,16 @@ def test_links_of_chains_and_hot_segments(spark: SparkSession, monkeypatch: pyte
     assert found == {k: c for k, c in want.items() if sizes[c] > 1}
 
 
+def test_empty_tables_and_missing_ids(empty: DataFrame, spark: SparkSession) -> None:
+    assert simhash.simhash_components(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.held_out_scores(empty, labels).count() == 0 and licenses.report(empty).count() == 0
+    text = prose(80, [f"w{k}" for k in range(300)])
+    df = spark.createDataFrame([(None, text), (None, text), (4, text), (2, text), (2, "other words"), (7, "")], "doc_id long, text string")
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in simhash.drop_near_duplicates(df).collect())
+    assert kept == sorted([(-1, text), (-1, text), (2, text), (2, "other words"), (7, "")])
+
+
 def test_near_duplicates_keep_one_of_each_group(docs: DataFrame) -> None:
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
     gone = set(range(len(TEXTS))) - kept
@@ -249,6 +261,80 @@ def test_toxicity_joins_spaced_words(insulted: list[tuple[str, int]]) -> None:
     assert max(score(["the tide of a w i n d", "a b c d e f g h", "the ring of the tide of the sea"])) < 0.5
 
 
+def plain_kernel(a: str, b: str) -> float:
+    def weights(word: str) -> dict[str, float]:
+        s, out = f"<{word}>", defaultdict(float)
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                    out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = weights(a), weights(b)
+    norm = lambda z: math.sqrt(sum(v * v for v in z.values())) or 1.0
+    return sum(v * y.get(k, 0.0) for k, v in x.items()) / norm(x) / norm(y)
+
+
+def plain_scores(model: toxicity.Model, texts: list[str]) -> list[float]:
+    """The document scores by loops over sentences, tokens and landmarks."""
+    triples = {m[k : k + 3] for m in (f"<{w}>" for w in model.landmarks.words) for k in range(len(m) - 2)}
+
+    @functools.cache
+    def one(word: str) -> float:
+        near = [plain_kernel(word, w) for w in model.landmarks.words]
+        return sum(c * x**toxicity.POWER for c, x in zip(model.weights.tolist(), near, strict=True) if x >= toxicity.NEAR)
+
+    def margin(word: str) -> float:
+        bare = "".join(filter(str.isalnum, word))
+        return one(word) if bare == word else max(one(word), one(bare))
+
+    held = lambda x: sum(x[k : k + 3] in triples for k in range(len(x) - 2))
+    out = []
+    for text in texts:
+        sums = []
+        for part in toxicity._SENTENCE.split(text):
+            words = [toxicity.token(w) for w in part.split()]
+            if not words:
+                continue
+            gains = [0.0]
+            for a, b in zip(words, words[1:], strict=False):
+                whole = f"<{a}{b}>"
+                across = a and b and whole[len(a) - 1 : len(a) + 2] in triples and whole[len(a) : len(a) + 3] in triples
+                if across and 2 * held(whole) >= len(a) + len(b):
+                    gains.append(margin(a + b) - max(0.0, margin(a)) - max(0.0, margin(b)))
+            for size in (1, toxicity.SHORT):
+                for few, group in itertools.groupby(words, key=lambda w, size=size: len(w) <= size):
+                    run = list(group)
+                    if few and len(run) > 1 and "".join(run):
+                        joined = "".join(run)
+                        forms = [joined] if len(joined) <= toxicity.PIECES[-1] else toxicity._pieces(joined)
+                        own = sum(max(0.0, margin(w)) for w in run)
+                        gains += [margin(x) - own for x in forms if size == 1 or 2 * held(x) >= max(1, len(x) - 2)]
+            sums.append(sum(map(margin, words)) + max(gains) + model.bias)
+        strongest, all_of_them = toxicity.evidence(sums or [model.bias])
+        out.append(1 / (1 + math.exp(-float(model.curve @ [strongest, all_of_them, 1.0]))))
+    return out
+
+
+def test_toxicity_scores_against_plain_loops(insulted: list[tuple[str, int]]) -> None:
+    model = toxicity.fit(insulted)
+    texts = [t for t, _ in insulted[:25] + insulted[-25:]] + ["", "???", "b l o c k h e a d", "a num bsk ull of the sea. block head", "Dim-wit! d.i.m.w.i.t", "numbskul blockheaad dimmwit tide"]
+    want = plain_scores(model, texts)
+    assert np.allclose(toxicity.Scorer(model).scores(texts), want, atol=1e-4) and min(want) < 0.3 < 0.7 < max(want)
+
+
+def test_toxicity_training_is_the_same_over_a_cluster(spark: SparkSession, insulted: list[tuple[str, int]]) -> None:
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(insulted)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(insulted)], "doc_id long, toxic int")
+    a, b = toxicity.train(df, labels, F.lit(True)), toxicity.fit(insulted)
+    assert sorted(a.landmarks.words) == sorted(b.landmarks.words) and np.isclose(a.bias, b.bias, atol=1e-3) and np.allclose(a.curve, b.curve, atol=1e-2)
+    few = toxicity.train(df, labels, F.lit(True), train_docs=60)
+    less = toxicity.train(df, labels, F.lit(True), train_bytes=4000)
+    assert few is not None and less is not None and toxicity.train(df, labels, F.lit(True), train_docs=0) is None
+    for model in (few, less):
+        assert model.landmarks.words != a.landmarks.words
+
+
 # --- 3
 
 
@@ -383,6 +469,25 @@ def test_language(docs: DataFrame, spark: SparkSession) -> None:
     assert language.identify_held_out(docs.where("false")).count() == 0
 
 
+def test_language_scores_against_plain_sets(spark: SparkSession) -> None:
+    own = random.Random(6)
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["zu", "re", "st"], "cc": ["éa", "ñi", "lo"]}
+    rows = [(" ".join("".join(own.choices(syllables[x], k=3)) for _ in range(own.randrange(3, 30))), x) for x in sorted(syllables) * 30]
+    model = language.fit(rows, landmarks=12)
+    sets = lambda t: set(language.grams(t).tolist())
+    marks = [{k for k in np.flatnonzero(row).tolist()} for row in model.landmarks]
+    texts = [t for t, _ in rows[:20]] + ["kalomi", "x", "zust " * 400]
+    got = model.scores(texts)
+    for text, row in zip(texts, got, strict=True):
+        a = sets(text)
+        kernel = np.array([len(a & m) / math.sqrt(max(1, len(a)) * max(1, len(m))) for m in marks])
+        e = np.exp(6 * (kernel @ model.weights - (kernel @ model.weights).max()))
+        assert np.allclose(row, e / e.sum(), atol=1e-4)
+    # n-grams of one to four characters, each by its own hash
+    gram = lambda t: {g for n in range(1, 5) for k in range(len(t) - n + 1) for g in language.grams(t[k : k + n])[-1:].tolist()}
+    assert all(sets(t) == gram(t) for t in ("kalomi", "ab", "éa ñi", "x"))
+
+
 # --- 6
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -42,10 +43,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What :func:`written` has written within each open :func:`temporary`.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what :func:`written` writes meanwhile, but for tables that are :func:`kept`. Whatever is to be
+    read of it must have been read by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A written table that outlives the :func:`temporary` around it."""
+    path = getattr(df, "tidewright_path", None)
+    for paths in _OPEN:
+        if path in paths:
+            paths.remove(path)
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.tidewright_path = path
@@ -56,9 +90,7 @@ def discard(df: DataFrame) -> None:
     """Delete what :func:`written` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "tidewright_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -5,6 +5,9 @@ checksum of the link table to see the fixed point. The state between rounds is a
 
 The centre of a large star has a row for each of its leaves. Rows of such nodes aren't shuffled to be joined: the nodes
 are so few, whatever the number of links, that their smallest neighbours are broadcast.
+
+Defined results: links of a node with itself or without a node are left out; repeated links count once; no links give no
+rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ Only training is bounded (``train_docs`` labelled texts and ``landmarks`` of the
 scoring reads whole texts in one map over the documents.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; without training rows all are; equal
-texts give equal values.
+texts give equal values; rows without an id are predicted, teach nothing, and their held_out is null.
 """
 
 from __future__ import annotations

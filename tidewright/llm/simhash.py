@@ -12,7 +12,9 @@ fingerprints are too coarse at a similarity of 0.8; the Jaccard similarity of th
 each group leads.
 
 Defined results: null, empty and word-less texts have fingerprint zero and link like any other; a text of fewer words
-than a shingle is one shingle; equal rows have equal results; an empty table gives an empty one.
+than a shingle is one shingle; equal rows have equal results; an empty table gives an empty one. In filtering, texts
+without words are nobody's near-duplicates, rows without an id stay and lead nobody, and all rows of an id that follows
+another one go.
 """
 
 from __future__ import annotations
@@ -203,7 +205,7 @@ def near_duplicates(df: DataFrame, *, size: int = 5, similarity: float = 0.8, id
     share a key but not yet a leader meet each other, followers included. Links hold at a Jaccard similarity of
     ``similarity``; groups are the components of all of them.
     """
-    texts = keyed(df, id_col, text_col)
+    texts = keyed(df, id_col, text_col).where("doc_id IS NOT NULL")
     prints = written(signatures(texts, size), "prints")
     firsts = prints.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("f"), F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.select("h1", "h2", "f.*", "n"), "firsts")

@@ -15,7 +15,7 @@ texts are; the driver solves for some hundred weights. The machine is linear in
 margin of each distinct token once.
 
 Defined results: null and empty texts have no sentence and score as an empty one; without labels of both kinds every
-score is 0; equal texts have equal scores.
+score is 0; equal texts have equal scores; rows without an id are scored, teach nothing, and their held_out is null.
 """
 
 from __future__ import annotations
@@ -541,23 +541,23 @@ def bags_of(rows: list[tuple[str, int]], marks: Landmarks, tied: set[str]) -> li
     return out
 
 
-def solve(bags: Bags, marks: Landmarks) -> Model:
-    """The machine over all sentences: clean ones as they stand, of each toxic document the strongest, chosen again with
-    each fit."""
+def solve(bags: Bags, marks: Landmarks, tied: int) -> Model:
+    """The machine over all sentences: clean ones as they stand, of each toxic document the strongest: first the one
+    nearest to the first ``tied`` landmarks, then chosen again with each fit."""
     clean, counts = list(bags.clean), np.array(list(bags.clean.values()), dtype=float)
     toxic = Rows([row for rows in bags.toxic for row in rows], marks.width)
     ends = np.cumsum([len(rows) for rows in bags.toxic])
     starts = np.concatenate(([0], ends[:-1]))
-    strongest = starts
     every = [row for rows in bags.toxic for row in rows]
     n = len(bags.toxic)
     cost = np.concatenate((np.full(n, 0.5), n / 2 * counts / max(1.0, counts.sum())))
     y = np.concatenate((np.ones(n), -np.ones(len(clean))))
+    margins = toxic.times((np.arange(marks.width) < tied).astype(float))
     for _ in range(4):
-        x = Rows([every[k] for k in strongest.tolist()] + clean, marks.width)
+        strongest = [a + int(margins[a:b].argmax()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        x = Rows([every[k] for k in strongest] + clean, marks.width)
         w, bias = _machine(x, marks.whiten, y, cost, ridge=0.05)
         margins = toxic.times(marks.whiten @ w)
-        strongest = np.array([a + int(margins[a:b].argmax()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
     return Model(marks, marks.whiten @ w, bias, np.zeros(3))
 
 
@@ -579,7 +579,7 @@ def fit(rows: list[tuple[str, int]], toxic: int = TOXIC_LANDMARKS, clean: int =
     bags = Bags(marks.width)
     for bag in bags_of(rows, marks, set(tied)):
         bags.add(*bag)
-    model = solve(bags, marks)
+    model = solve(bags, marks, len(tied))
     scorer = Scorer(model)
     model.curve = _sigmoid(np.array([evidence(m or [model.bias]) for m in scorer.margins([t for t, _ in rows])]), np.array([y for _, y in rows]))
     return model
@@ -650,7 +650,7 @@ def train(
     bags = Bags(marks.width)
     for r in _in_groups(rows, features, "y int, rows array<binary>, counts array<long>").collect():
         bags.add(r["y"], [bytes(x) for x in r["rows"]], r["counts"])
-    model = solve(bags, marks)
+    model = solve(bags, marks, len(tied))
     fitted = context.broadcast(model)
 
     def strength(part: list[tuple[str, int]]) -> pa.RecordBatch:
