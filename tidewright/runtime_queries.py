@@ -688,6 +688,32 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x, parse_duration_ms(x)) for x, _ in _DURATIONS], "value string, ms int")
 
 
+@registered("SELECT 'first' AS run, 'none' AS error, count(*) AS n FROM region UNION ALL SELECT 'after an append', 'none', count(*) + 1 FROM region UNION ALL SELECT 'after optimize', 'none', count(*) + 1 FROM region "
+            "UNION ALL SELECT 'after an upsert', 'ChangedRowsError', count(*) + 1 FROM region UNION ALL SELECT 'passing over it', 'none', count(*) + 2 FROM region")
+def stream_versioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over a versioned table that is appended to, compacted and changed meanwhile."""
+    r, place = read(spark, sf_dir, "region"), scratch(spark)
+    source, target, rows = fresh(spark, r), fresh(spark, r), []
+
+    def run(name: str, **options: str) -> None:
+        stream = _Copy(source.name, source_format="versioned", checkpoint_location=f"{place}/versions", read_options=options, spark=spark)
+        stream.table = target
+        rows.append((name, outcome(stream.run_available), target.dataframe().count()))
+
+    one = r.where("r_regionkey = 0").withColumn("r_regionkey", F.lit(100))
+    source.write(r)
+    run("first")
+    source.write(one)
+    run("after an append")
+    v.optimize_table(source)
+    run("after optimize")
+    source.upsert(one, ["r_regionkey"])
+    source.write(one)
+    run("after an upsert")
+    run("passing over it", skipChangeCommits="true")
+    return spark.createDataFrame(rows, "run string, error string, n long")
+
+
 # --- jobs ------------------------------------------------------------------------------------------------------------
 
 

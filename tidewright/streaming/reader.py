@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewright.job.metrics import MetricsSink, emit_event
 from tidewright.job.session import active_fallback
 from tidewright.operators.filters import Filter
+from tidewright.sources.log import Files
 from tidewright.sources.versioned import VersionedTable
 from tidewright.streaming.batches import BatchContext, BatchLogger
 from tidewright.streaming.checkpoint import CheckpointManager, remember_schema
@@ -39,6 +40,14 @@ class CircuitBreakerError(RuntimeError):
     """Too many batches failed in a row."""
 
 
+class ChangedRowsError(RuntimeError):
+    """A version of a streamed table took rows away or changed them."""
+
+
+#: Operations that rewrite files but no rows.
+SAME_ROWS = ("OPTIMIZE", "RENAME COLUMN", "ADD COLUMN")
+
+
 DLQ_COLUMNS = ("_dlq_error_message", "_dlq_error_timestamp", "_dlq_batch_id")
 
 
@@ -58,7 +67,13 @@ class DeadLetters:
 
 
 class StreamingTableReader(ABC):
-    """A stream over a table or files; subclasses define :meth:`process_batch`."""
+    """A stream over a table or files; subclasses define :meth:`process_batch`.
+
+    With ``source_format="versioned"`` the source is a versioned table and each of its versions a batch: the rows of the
+    files that it added. Rewrites that keep the rows are passed over; versions that changed or took rows raise
+    :class:`ChangedRowsError`, or are passed over with the option ``skipChangeCommits``. The checkpoint holds the last
+    version that was processed; :meth:`run_available` goes on from there.
+    """
 
     def __init__(
         self, source: str, *, source_format: str = "parquet", trigger: StreamingTrigger | dict[str, Any] = StreamingTrigger.SECONDS_10,
@@ -130,6 +145,8 @@ class StreamingTableReader(ABC):
             raise error
 
     def start(self) -> StreamingQuery:
+        if self.format == "versioned":
+            raise ValueError("a stream over a versioned table runs by run_available()")
         stream = self.read_stream()
         remember_schema(self.checkpoint, stream.schema, spark=self.spark)
         writer = stream.writeStream.foreachBatch(self.handle).trigger(**self.trigger)
@@ -151,8 +168,27 @@ class StreamingTableReader(ABC):
     def is_active(self) -> bool:
         return self._query is not None and self._query.isActive
 
+    def _run_versions(self) -> None:
+        """Batches of the versions after the last one that was processed."""
+        table = VersionedTable.open(self.source, spark=self.spark)
+        files, place = Files(self.spark, self.checkpoint), f"{self.checkpoint}/version"
+        done = int(files.read(place)) if files.exists(place) else -1
+        skip = str(self.options.get("skipChangeCommits", "false")).lower() == "true"
+        for n in (n for n in table.log.numbers() if n > done):
+            now, before = table.log.read(n), table.log.read(n - 1).files if n else {}
+            gone = [f for f in before if f not in now.files]
+            if gone and now.operation not in SAME_ROWS and not skip:
+                raise ChangedRowsError(f"version {n} of {table.name} ({now.operation}) is no append")
+            added = [f for f in now.files if f not in before]
+            if added and not gone:
+                self.handle(table._scan(now, added), n)
+            files.put(place, str(n))
+
     def run_available(self, timeout: float = 300) -> None:
         """Process what is there and end."""
+        if self.format == "versioned":
+            self._run_versions()
+            return
         self.trigger = StreamingTrigger.AVAILABLE_NOW.value
         began, query = time.time(), self.start()
         if not query.awaitTermination(timeout):
