@@ -6,7 +6,7 @@ frame, and offset within the decompressed frame, so one record costs one ranged
 
 Pages of equal payload share one ``response`` record, that of the largest page_id; the others are ``revisit`` records
 without a payload. Writers name files by task attempt and the index comes from committed tasks only, so files of lost
-attempts are never read.
+attempts are never read. Workers reach the folder through pyarrow's file systems (local, HDFS, S3, GCS, Azure).
 
 Defined results: null payloads are empty; null URLs are empty; payloads under ``least`` bytes are always stored; rows
 that repeat the largest page_id are all responses.
@@ -133,8 +133,15 @@ class BundleReader:
         return self.frame(frame)[offset : offset + length]
 
 
+#: Schemes of Hadoop's connectors that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return pyarrow.fs.FileSystem.from_uri(f"file://{uri}")
+    return pyarrow.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
