@@ -355,3 +355,17 @@ def test_z_order_keeps_near_values_together(temp_table, spark: SparkSession) ->
     assert sum(x - y for x, y in zip(*spread, strict=True)) / len(spread[0]) < 2600  # of 4,000
     with pytest.raises(ValueError):
         v.optimize_table(table, zorder_by=["gone"])
+
+
+def test_partition_values_of_all_kinds(temp_table, spark: SparkSession) -> None:  # noqa: ANN001
+    odd = ["a b", "x/y", "p=q", "50%", "é", None, "data", "a:b"]
+    table = temp_table(KIND, partition_by="name")
+    df = spark.createDataFrame([(k, n, k) for k, n in enumerate(odd)], "id int, name string, value int").coalesce(1)
+    table.write(df)
+    table.write(df.withColumn("id", df["id"] + 100))
+    before = set(table.current.files)
+    result = table.upsert(spark.createDataFrame([(k, n, -k) for k, n in enumerate(odd) if k], "id int, name string, value int"), ["id"])
+    assert result == v.MergeResult(0, 7, 0) and len(before - set(table.current.files)) == 7
+    assert {(r["id"], r["name"]) for r in table.dataframe().collect()} == {(k + x, n) for k, n in enumerate(odd) for x in (0, 100)}
+    assert {r["value"] for r in table.dataframe().where("id < 100").collect()} == {-k for k in range(8)}
+    assert v.drop_duplicates_pkey(table, "id", ["name"]) == v.DedupResult(8, 8)

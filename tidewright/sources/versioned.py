@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -125,7 +126,7 @@ class VersionedTable:
     def _scan(self, v: Version, names: Iterable[str], places: bool = False) -> DataFrame:
         """Rows of some files of a version; with ``places`` also the file and the row's number in it."""
         names = list(names)
-        extra = [("_file", "file_name", "string"), ("_row", "row_index", "long")] if places else []
+        extra = [("_file", "file_path", "string"), ("_row", "row_index", "long")] if places else []
         if not names:
             return self.spark.createDataFrame([], T.StructType([*v.struct.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, _, t in extra)]))
         data = f"{self.root}/data"
@@ -178,19 +179,13 @@ class VersionedTable:
 
     def _store(self, df: DataFrame, version: Version, observe: dict[str, Any] | None = None) -> tuple[dict[str, int], dict[str, int]]:
         """Write rows to new files; gives the files and the observed numbers."""
-        seen = Observation()
-        stage = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        seen, folder = Observation(), f"_w={uuid.uuid4().hex}"
         watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in (observe or {}).items()))
         watched = watched.where(F.col(plans.ACTION) != "delete").drop(plans.ACTION) if plans.ACTION in df.columns else watched
         writer = watched.write.mode("append")
-        (writer.partitionBy(*version.partition_by) if version.partition_by else writer).parquet(stage)
-        files = {}
-        for name, size in self.log.files.walk(stage):
-            folder, _, base = name.rpartition("/")
-            new = f"{folder}/{uuid.uuid4().hex}-{base}" if folder else f"{uuid.uuid4().hex}-{base}"
-            self.log.files.rename(f"{stage}/{name}", f"{self.root}/data/{new}")
-            files[new] = size
-        self.log.files.delete(stage)
+        # the folder looks like one more partition column to Spark, so files of all commits are read by one scan
+        (writer.partitionBy(*version.partition_by) if version.partition_by else writer).parquet(f"{self.root}/data/{folder}")
+        files = {f"{folder}/{name}": size for name, size in self.log.files.walk(f"{self.root}/data/{folder}")}
         return files, dict(seen.get)
 
     def write(self, df: DataFrame, mode: str = "append", *, schema_check: bool = True, merge_schema: bool = False, transaction: tuple[str, int] | None = None) -> int:
@@ -251,9 +246,12 @@ class VersionedTable:
         return seen
 
     def _named(self, base: Version, found: DataFrame) -> list[str]:
-        """Files of a version by the names in the column ``_file``; as many rows at most as there are files."""
-        names = {r["_file"] for r in found.select("_file").distinct().collect()}
-        return [n for n in base.files if n.rpartition("/")[2] in names]
+        """Files of a version by the paths in the column ``_file``; as many rows at most as there are files."""
+        return self._among(base, (r["_file"] for r in found.select("_file").distinct().collect()))
+
+    def _among(self, base: Version, paths: Iterable[str]) -> list[str]:
+        names = {unquote(x).rpartition("/data/")[2] for x in paths}
+        return [n for n in base.files if n in names]
 
     def restore(self, version: int) -> int:
         """Make an older version current again, as a new version."""
@@ -374,8 +372,7 @@ class MergeBuilder:
             found = plans.touched(table._scan(base, base.files, places=True), source, self.clauses, on, ["_file", "_row"], "_file").collect()
             if any(r["most"] > 1 for r in found) and not plans.deletes_only(self.clauses):
                 raise plans.MergeConflictError(f"several source rows match one row of {table.name}")
-            named = {r["_file"] for r in found}
-            names = [n for n in base.files if n.rpartition("/")[2] in named]
+            names = table._among(base, (r["_file"] for r in found))
             whole = len(names) == len(base.files)
             merged = plans.merge_df(
                 table._scan(base, names), source, self.clauses, keys=self.keys, condition=self.condition, insert_against=None if whole else table._scan(base, base.files)
