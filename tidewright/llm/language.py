@@ -4,8 +4,8 @@ A text is the set of its character n-grams of one to four characters (hashed). T
 the common set over the geometric mean of both sizes. Nyström landmarks are training texts; one-versus-rest kernel
 ridge regression in the landmark space gives a weight matrix, and scoring is two batched matrix products.
 
-Only training is bounded (``train_docs`` labelled texts and ``landmarks`` of them, in the order of a hash of the id);
-scoring reads whole texts in one map over the documents.
+Only training is bounded (``train_docs`` labelled texts, ``train_bytes`` of them, and ``landmarks``, in the order of a
+hash of the id); scoring reads whole texts in one map over the documents.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; without training rows all are; equal
 texts give equal values; rows without an id are predicted, teach nothing, and their held_out is null.
@@ -88,13 +88,27 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 96, ridge: float = 1e-3) -
     return Model(chosen, (whiten @ w).astype(np.float32), languages)
 
 
-def train(df: DataFrame, usable: Column, *, train_docs: int = 2000, landmarks: int = 96, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fit on at most ``train_docs`` rows for which ``usable`` holds."""
+def train(
+    df: DataFrame, usable: Column, *, train_docs: int = 2000, train_bytes: int = 16 << 20, landmarks: int = 96, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang",
+) -> Model | None:
+    """Fit on at most ``train_docs`` documents for which ``usable`` holds, and at most ``train_bytes`` of their texts; of
+    rows that repeat an id the shortest is learnt from."""
     rows = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    # ids alone are ordered; their texts are fetched after
-    ids = rows.select("i").orderBy(F.xxhash64("i"), "i").limit(train_docs).distinct()
-    found = rows.join(F.broadcast(ids), "i", "left_semi").limit(2 * train_docs).collect()
+    # ids and sizes alone are ordered; the texts are fetched after
+    heads = rows.select("i", F.octet_length("t").alias("n")).orderBy(F.xxhash64("i"), "i", "n").limit(train_docs).collect()
+    size, chosen = 0, {}
+    for r in heads:
+        if r["i"] in chosen:
+            continue
+        if chosen and size + r["n"] > train_bytes:
+            break
+        chosen[r["i"]] = True
+        size += r["n"]
+    ids = df.sparkSession.createDataFrame([(i,) for i in chosen], rows.select("i").schema)
+    one = F.min_by(F.struct("t", "l"), F.struct(F.octet_length("t"), F.xxhash64("t", "l"))).alias("x")
+    found = rows.join(F.broadcast(ids), "i", "left_semi").groupBy("i").agg(one).select("i", "x.*").collect()
     found.sort(key=lambda r: (hash_of(r["i"]), r["t"]))
     return fit([(r["t"], r["l"]) for r in found], landmarks)
 
