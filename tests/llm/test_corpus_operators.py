@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import (
+    common,
     decontamination,
     language,
     licenses,
@@ -106,6 +107,7 @@ def test_simhash(docs: DataFrame) -> None:
 @pytest.mark.parametrize("hot", [1, 64])
 def test_links_of_chains_and_hot_segments(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, hot: int) -> None:
     monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", hot // 16)  # so that stars go by the broadcast
     random.seed(3)
     fps = [random.getrandbits(64) for _ in range(40)]
     for k in range(60):  # chains, and many that share a half
@@ -121,6 +123,12 @@ def test_links_of_chains_and_hot_segments(spark: SparkSession, monkeypatch: pyte
     assert found == {k: c for k, c in want.items() if sizes[c] > 1}
 
 
+def test_components_of_a_large_star(spark: SparkSession) -> None:
+    links = [(5000, k) for k in range(1000, 1900)] + [(k, k + 1) for k in range(30)] + [(1899, 30), (7000, 7001), (7, 7), (7001, 7000), (None, 3)]
+    found = {r["node"]: r["component"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {k: 0 for k in [5000, *range(1000, 1900), *range(31)]} | {7000: 7000, 7001: 7000}
+
+
 def test_empty_tables_and_missing_ids(empty: DataFrame, spark: SparkSession) -> None:
     assert simhash.simhash_components(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
     labels = spark.createDataFrame([], "doc_id long, toxic int")

@@ -20,8 +20,12 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM_LOWER = bytes(
     b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
 )
-#: Rows of an Arrow batch handed to Python; texts may be long.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch handed to Python, where the session has Spark's default of ten times as many; texts may be long,
+#: and the JVM holds a batch of each direction, too.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What workers are told: memory that they free goes back to the system.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,9 +98,14 @@ def discard(df: DataFrame) -> None:
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose Python workers can import this package where it lies beside the job's files."""
+    """``mapInArrow`` in batches of ``BATCH_ROWS``, whose Python workers can import this package where it lies beside the
+    job's files."""
     root = str(Path(__file__).resolve().parents[2])
-    env = df.sparkSession.sparkContext.environment
+    conf, env = df.sparkSession.conf, df.sparkSession.sparkContext.environment
+    if conf.get(_ROWS_SETTING, DEFAULT_ROWS) == DEFAULT_ROWS:
+        conf.set(_ROWS_SETTING, BATCH_ROWS)
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))

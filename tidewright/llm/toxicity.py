@@ -45,7 +45,7 @@ TASKS = 16
 #: Share of toxic documents that the scores are set for.
 PRIOR = 0.3
 #: Distinct tokens whose margins a worker remembers; then it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Characters of a token; longer runs are read in pieces of these sizes at every place.
 LONGEST, PIECES = 40, (4, 6, 9, 12)
 #: Characters of tokens that may be letters of a gapped word.
