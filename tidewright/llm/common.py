@@ -177,8 +177,8 @@ def small_or_shuffled(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-#: Rows of a key that one task may always join, and keys with more of them that may be broadcast.
-HOT_ROWS, HOT_KEYS = 200, 50_000
+#: Rows of a key that one task may always join, keys with more of them that may be broadcast, and rows of a side that may.
+HOT_ROWS, HOT_KEYS, FEW_ROWS = 200, 50_000, 50_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -186,8 +186,11 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) ->
 
     Keys with more than ``HOT_ROWS`` rows, and more than ``total / HOT_KEYS`` of them, are joined by a broadcast. There
     are at most ``HOT_KEYS`` such keys, so its size is bounded whatever the data; no task of the shuffle join for the
-    others gets a key of more rows than that.
+    others gets a key of more rows than that. Where ``left`` has at most ``FEW_ROWS`` rows, so do the keys that matter, and
+    all of them are broadcast.
     """
+    if total <= FEW_ROWS:
+        return left.join(F.broadcast(right), keys)
     most = max(HOT_ROWS, total // HOT_KEYS)
     hot = right.where(F.col("n") > most)
     return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col("n") <= most), keys))
