@@ -202,6 +202,51 @@ def test_recall_by_similarity(spark: SparkSession, words: int, least: float) ->
     assert gone <= set(range(1, 800, 2)) and len(gone) >= 0.98 * 400
 
 
+def test_fingerprints_give_near_duplicates_of_their_own(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(simhash, "_band_keys", lambda firsts: firsts.select("doc_id", F.lit(0).cast("long").alias("key")).where("false"))
+    rows = {}
+    for k in range(60):
+        first = prose(500, [f"s{k}w{j}" for j in range(400)]).split()
+        rows[2 * k], rows[2 * k + 1] = " ".join(first), " ".join(changed(first, 250, 1, "y"))
+    fps = {k: simhash.majority(np.unique(simhash.shingle_hashes(t.encode(), 5))) for k, t in rows.items()}
+    want = {k + 1: k for k in rows if k % 2 == 0 and bin(fps[k] ^ fps[k + 1]).count("1") <= 2}
+    assert len(want) >= 20
+    gone = simhash.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["leader"] for r in gone} == want
+
+
+def test_sets_that_share_much_but_too_little_do_not_all_meet(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    counts = []
+    compare = simhash._similar
+
+    def counted(pairs: DataFrame, *others) -> DataFrame:  # noqa: ANN002
+        counts.append(pairs.count())
+        return compare(pairs, *others)
+
+    monkeypatch.setattr(simhash, "_similar", counted)
+    words = [f"b{j}" for j in range(400)]
+    rows = [(k, " ".join(changed(words, 20 + k % 300, 60, f"u{k}x"))) for k in range(300)]  # about 0.7 of each other at most
+    rows += [(1000 + k, " ".join(changed(words, k, 4, f"v{k}x"))) for k in range(200)]
+    gone = {r["doc_id"]: r["leader"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(gone.get(k) == 1000 for k in range(1001, 1200)) and not [k for k in gone if k < 1000]
+    assert sum(counts) <= 30 * len(rows), counts
+
+
+def test_prefixes_hold_a_shingle_of_every_similar_pair() -> None:
+    random.seed(5)
+    for _ in range(3000):
+        size, similarity = random.choice([3, 7, 20, 60, 200]), random.choice([0.5, 0.8, 0.9])
+        x = set(random.sample(range(size * 3), size))
+        y = set(random.sample(sorted(x), random.randrange(size // 2, size + 1))) | {10_000 + k for k in range(random.randrange(1 + size // 3))}
+        if len(x & y) < similarity * len(x | y):
+            continue
+        seen = []
+        for one, other in ((x, y), (y, x)):
+            shared = np.array(sorted(k for k in one if k in other or k % 3), dtype=np.int64)  # some are held by third sets
+            seen.append({(min(a, b), max(a, b), k) for a, b, some in simhash.prefixes(len(one), shared, similarity) for k in some.tolist()})
+        assert seen[0] & seen[1], (len(x), len(y), len(x & y))
+
+
 # --- 2
 
 

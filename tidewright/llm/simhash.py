@@ -7,9 +7,9 @@ distances are verified. A segment value that more than ``HOT`` fingerprints shar
 fingerprints that look there are linked by their shared neighbours at one bit instead (two fingerprints are within two
 bits exactly if some 64-bit value is within one bit of both), which is exact, and no group then exceeds 65.
 
-:func:`near_duplicates` serves filtering: MinHash bands of five-word shingle sets give candidates, as 64-bit
-fingerprints are too coarse at a similarity of 0.8; the Jaccard similarity of the sets is verified, and one document of
-each group leads.
+:func:`near_duplicates` serves filtering: the same fingerprints over five-word shingle sets give candidates, and MinHash
+bands those that 64-bit fingerprints are too coarse for at a similarity of 0.8; the Jaccard similarity of the sets is
+verified, and one document of each group leads.
 
 Defined results: null, empty and word-less texts have fingerprint zero and link like any other; a text of fewer words
 than a shingle is one shingle; equal rows have equal results; an empty table gives an empty one. In filtering, texts
@@ -19,6 +19,10 @@ another one go.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -152,11 +156,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, h1, h2, bands) of (doc_id, text): 128 bits of the shingle set and a key of each band; texts without words
-    are left out."""
+    """(doc_id, h1, h2, fp, bands) of (doc_id, text): 128 bits of the shingle set, its SimHash fingerprint and a key of
+    each band; texts without words are left out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, whole, bands = [], [], []
+        keep, whole, prints, bands = [], [], [], []
         for k, text in enumerate(as_bytes(batch.column(1))):
             hashes = np.unique(shingle_hashes(text, size))
             if not len(hashes):
@@ -164,26 +168,30 @@ def signatures(df: DataFrame, size: int) -> DataFrame:
             least = signature(hashes).reshape(BANDS, ROWS)
             keep.append(k)
             whole.append(xxhash.xxh3_128_intdigest(hashes.tobytes()))
+            prints.append(majority(hashes))
             bands.append(_signed([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least)]))
         halves = [pa.array(_signed([w >> shift & 0xFFFFFFFFFFFFFFFF for w in whole])) for shift in (64, 0)]
         ids = batch.column(0).take(pa.array(keep, pa.int64()))
-        return pa.RecordBatch.from_arrays([ids, *halves, pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
+        return pa.RecordBatch.from_arrays([ids, *halves, pa.array(_signed(prints)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "fp", "bands"])
 
-    return map_batches(df, run, "doc_id long, h1 long, h2 long, bands array<long>")
+    return map_batches(df, run, "doc_id long, h1 long, h2 long, fp long, bands array<long>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets have the Jaccard similarity."""
-    wanted = small_or_shuffled(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"), BROADCAST_IDS)
+def _sets(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, s): the hashed shingles of the texts with these ids (repeats are borne), written."""
+    wanted = small_or_shuffled(written(ids.distinct(), "wanted"), BROADCAST_IDS)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in as_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    found = map_batches(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), sets, "doc_id long, s array<long>")
-    found = written(found, "sets")  # both sides read it
-    a = found.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    b = found.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    return written(map_batches(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), sets, "doc_id long, s array<long>"), "sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) whose shingle sets have the Jaccard similarity."""
+    a = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -197,40 +205,105 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), compare, "a long, b long")
 
 
+def _within_two_bits(firsts: DataFrame) -> DataFrame:
+    """From (doc_id, fp) of different sets: pairs (a, b), a < b, that connect all sets whose fingerprints differ in at most
+    two bits."""
+    fps = written(firsts.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "distinct")
+    equal = hot_join(firsts.select("fp", F.col("doc_id").alias("b")), fps.where("n > 1"), ["fp"], firsts.count()).where("node < b").select(F.col("node").alias("a"), "b")
+    return equal.union(link_fingerprints(fps.select("fp", "node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def _band_keys(firsts: DataFrame) -> DataFrame:
+    return firsts.select("doc_id", F.explode("bands").alias("key"))
+
+
+#: Least sizes of classes of sets whose sizes differ by some 5 %.
+_CLASSES = [1]
+while _CLASSES[-1] < 1 << 40:
+    _CLASSES.append(max(_CLASSES[-1] + 1, _CLASSES[-1] * 21 // 20))
+
+
+def prefixes(size: int, shared: np.ndarray, similarity: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(own class, partner's class, shingles) by each class of sizes that a similar set may have: of two sets of that
+    similarity, one of the shingles of either stands among those of the other.
+
+    ``shared`` are the set's shingles that other sets have, rarest first in an order that all sets agree on; the rest of
+    its ``size`` come before them. A partner of ``m`` shingles has at least ``similarity / (1 + similarity) * (size + m)``
+    of them, so it cannot miss all of the first ``size`` less that and one more.
+    """
+    own = bisect_right(_CLASSES, size) - 1
+    least, most = math.ceil(similarity * size - 1e-6), math.floor(size / similarity + 1e-6)
+    for other in range(bisect_right(_CLASSES, max(1, least)) - 1, bisect_right(_CLASSES, most)):
+        both = math.ceil(similarity / (1 + similarity) * (size + max(least, _CLASSES[other])) - 1e-6)
+        n = size - both + 1 - (size - len(shared))
+        if n > 0:
+            yield own, other, shared[:n]
+
+
+def _candidates(sets: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of sets with different leaders, among them all that have the similarity: by the rarest of
+    their shingles (:func:`prefixes`), so that sets which share much, but too little, don't meet."""
+    tokens = sets.select("doc_id", F.size("s").alias("size"), F.explode("s").alias("t"))
+    total = sets.agg(F.sum(F.size("s"))).first()[0] or 0
+    often = written(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shingles")
+    ranked = hot_join(tokens, often, ["t"], total).groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("r"))
+    ranked = ranked.join(small_or_shuffled(leaders, BROADCAST_IDS), "doc_id").select("doc_id", "leader", "size", F.col("r.t").alias("r"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, keys, sides = [], [], []
+        for k, (size, r) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
+            for own, other, some in prefixes(size, r.values.to_numpy(), similarity):
+                mark = xxhash.xxh64_intdigest(f"{min(own, other)} {max(own, other)}", 11)
+                keys.append(some.view(np.uint64) ^ np.uint64(mark))
+                sides.append(np.full(len(some), (own > other) - (own < other), dtype=np.int8))
+                at.append(np.full(len(some), k))
+        where = pa.array(np.concatenate(at) if at else [], pa.int64())
+        columns = [pa.array(np.concatenate(x) if x else np.empty(0, dtype), kind) for x, dtype, kind in (([k.view(np.int64) for k in keys], np.int64, pa.int64()), (sides, np.int8, pa.int8()))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *columns], names=["doc_id", "leader", "key", "side"])
+
+    rows = written(map_batches(ranked, run, "doc_id long, leader long, key long, side byte"), "prefixes")
+    split = rows.groupBy("key").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo < hi").select("key")
+    rows = written(rows.join(split, "key"), "members")
+    # leaders first, so that members of one group don't meet
+    groups = rows.select("key", "leader", "side").distinct()
+    low = groups.where("side <= 0").select("key", "side", F.col("leader").alias("la"))
+    across = low.join(groups.where("side >= 0").select("key", F.col("leader").alias("lb")), "key").where("la < lb OR side < 0 AND la > lb").select("key", "la", "lb")
+    left = rows.where("side <= 0").select("key", F.col("leader").alias("la"), F.col("doc_id").alias("x"))
+    right = rows.where("side >= 0").select("key", F.col("leader").alias("lb"), F.col("doc_id").alias("y"))
+    return across.join(left, ["key", "la"]).join(right, ["key", "lb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, *, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, leader): documents that follow another one, which stays.
 
-    First, equal shingle sets follow their smallest id. Then each set meets only the smallest id behind each of its
-    keys, so that large groups of near copies shrink to few leaders without their pairs being made; last, all sets that
-    share a key but not yet a leader meet each other, followers included. Links hold at a Jaccard similarity of
-    ``similarity``; groups are the components of all of them.
+    First, equal shingle sets follow their smallest id. Then sets meet whose SimHash fingerprints are within two bits; and,
+    as such pairs are a part only of those at the similarity, each set meets the smallest id behind each of its MinHash
+    bands, so that large groups of near copies shrink to few leaders without their pairs being made. Last, of all sets
+    that share a band but not yet a leader those meet whose rarest shingles allow the similarity, followers included.
+    Links hold at a Jaccard similarity of ``similarity``; groups are the components of all of them.
     """
     texts = keyed(df, id_col, text_col).where("doc_id IS NOT NULL")
     prints = written(signatures(texts, size), "prints")
-    firsts = prints.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("f"), F.count(F.lit(1)).alias("n"))
+    firsts = prints.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("f"), F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.select("h1", "h2", "f.*", "n"), "firsts")
     several = firsts.where("n > 1").select("h1", "h2", F.col("doc_id").alias("a"), "n")
     same = hot_join(prints.select("h1", "h2", F.col("doc_id").alias("b")), several, ["h1", "h2"], prints.count()).where("a <> b").select("a", "b")
 
-    keys = firsts.select("doc_id", F.explode("bands").alias("key"))
+    keys = _band_keys(firsts)
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
     shared = written(keys.join(heads, "key"), "keys")
-    star = written(shared.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "candidates")
-    links1 = written(_similar(star, texts, size, similarity), "links")
+    star = shared.where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+    star = written(_within_two_bits(firsts.select("doc_id", "fp")).union(star).distinct(), "candidates")
+    links1 = written(_similar(star, _sets(star.select(F.explode(F.array("a", "b")).alias("doc_id")), texts, size), similarity), "links")
     round1 = written(components(links1), "round1")
 
     members = shared.select("key", "doc_id").join(round1.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    members = members.select("key", "doc_id", F.coalesce("component", "doc_id").alias("leader"))
+    members = written(members.select("key", "doc_id", F.coalesce("component", "doc_id").alias("leader")), "members")
     split = members.groupBy("key").agg(F.min("leader").alias("lo"), F.max("leader").alias("hi")).where("lo < hi").select("key")
-    members = written(members.join(split, "key"), "members")
-    # leaders first, so that members of one group don't meet
-    groups = members.select("key", "leader").distinct()
-    across = groups.withColumnRenamed("leader", "la").join(groups.withColumnRenamed("leader", "lb"), "key").where("la < lb")
-    left = members.select("key", F.col("leader").alias("la"), F.col("doc_id").alias("x"))
-    right = members.select("key", F.col("leader").alias("lb"), F.col("doc_id").alias("y"))
-    pairs = across.join(left, ["key", "la"]).join(right, ["key", "lb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "candidates")
-    links2 = _similar(pairs, texts, size, similarity)
+    loose = written(members.join(split, "key").select("doc_id", "leader").distinct(), "loose")
+    sets = _sets(loose.select("doc_id"), texts, size)
+    pairs = written(_candidates(sets, loose, similarity).join(star, ["a", "b"], "left_anti"), "candidates")
+    links2 = _similar(pairs, sets, similarity)
     found = components(same.union(links1).union(links2)).where("node <> component")
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("leader"))
 
