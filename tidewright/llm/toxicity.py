@@ -204,15 +204,21 @@ class Landmarks:
         number, at, weight = number[want], at[want], weight[want]
         if not len(number):
             return np.empty(0, dtype=np.int64), np.zeros((0, len(self.words)))
-        names, row = np.unique(number, return_inverse=True)
-        holders = self.first[at + 1] - self.first[at]
-        pair = np.repeat(np.arange(len(at)), holders)
-        place = np.arange(len(pair)) - np.repeat(np.cumsum(holders) - holders, holders) + self.first[at][pair]
-        flat = np.bincount(row[pair] * len(self.words) + self.holder[place], weight[pair] * self.share[place], minlength=len(names) * len(self.words))
+        heads = np.concatenate(([True], number[1:] != number[:-1]))  # they ascend
+        names, row = number[heads], np.cumsum(heads) - 1
+        first = self.first[at]
+        holders = self.first[at + 1] - first
+        ends = np.cumsum(holders)
+        place = np.arange(ends[-1]) + np.repeat(first - (ends - holders), holders)
+        cell = np.repeat(row * len(self.words), holders)
+        cell += self.holder[place]
+        value = np.repeat(weight, holders)
+        value *= self.share[place]
+        flat = np.bincount(cell, value, minlength=len(names) * len(self.words))
         rows = flat.reshape(len(names), -1) / norms[names][:, None]
-        rows = np.where(rows >= NEAR, rows**POWER, 0.0)
-        some = rows.any(axis=1)
-        return names[some], rows[some]
+        some = (rows >= NEAR).any(axis=1)
+        rows = rows[some]
+        return names[some], np.where(rows >= NEAR, rows**POWER, 0.0)
 
 
 @dataclass
